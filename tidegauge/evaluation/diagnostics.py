@@ -21,7 +21,7 @@ def monthly_accuracy(preds: DataFrame, keys: Sequence[str], ts: str = "ts") -> D
     )
     first, last = F.trunc(F.min("month_end"), "month"), F.trunc(F.max("month_end"), "month")
     spine = months.groupBy(*keys).agg(F.sequence(first, last, F.expr("interval 1 month")).alias("m"))
-    spine = spine.select(*keys, F.last_day(F.explode("m")).alias("month_end"))
+    spine = spine.select(*keys, F.explode("m").alias("m")).select(*keys, F.last_day("m").alias("month_end"))
     return spine.join(months, [*keys, "month_end"], "left")
 
 

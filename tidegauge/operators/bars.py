@@ -19,7 +19,7 @@ def arrival_order(*digits: tuple[Column, int]) -> Column:
     packed, left = None, total
     for number, width in digits:
         left -= width
-        part = number.cast(f"decimal({width},0)") * F.lit(10**left).cast(f"decimal({left + 1},0)")
+        part = number.cast(f"decimal({width},0)") * F.lit(str(10**left)).cast(f"decimal({left + 1},0)")
         packed = part if packed is None else packed + part
     return packed.cast("decimal(38,0)")
 
