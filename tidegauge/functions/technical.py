@@ -73,7 +73,7 @@ def cci(b: Blocked, period: int = 20, high="high", low="low", close="close") ->
     return [
         {"_tp": (F.col(high) + F.col(low) + F.col(close)) / 3.0},
         {"_tpd": F.col("_tp") - b.mean("_tp", period)},
-        {f"cci_{period}": F.try_divide(F.col("_tpd"), 0.015 * b.mean(F.abs("_tpd"), period))},
+        {f"cci_{period}": F.try_divide(F.col("_tpd"), 0.015 * b.mean("abs(_tpd)", period))},
     ]
 
 

@@ -44,6 +44,11 @@ def time_bucket(ts: str, bar_seconds: int, block_rows: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(bar_seconds * block_rows))
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """The session's number of shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def index_rows(df: DataFrame, spec: SeriesSpec, tie_break: Sequence[str] = ()) -> DataFrame:
     """Add the 0-based row number ``rn`` and the row count ``n_rows`` of every series.
 
@@ -92,7 +97,9 @@ class Blocked:
         spread = indexed.withColumn(BLOCK, F.explode(F.sequence(first, last))).withColumn(
             HOME, F.floor(F.col(ROW) / size) == F.col(BLOCK)
         )
-        return cls(spread, spec, back, ahead)
+        # a wide frame costs far more than its bytes suggest, so the partition count is given
+        # and not left to the size-based merging of small partitions
+        return cls(spread.repartition(shuffle_width(indexed), *spec.block_keys), spec, back, ahead)
 
     def run(self, *plans: Stages) -> Blocked:
         """Add the columns of several plans, stage by stage side by side.
@@ -119,50 +126,67 @@ class Blocked:
 
     def frame(self, n: int) -> WindowSpec:
         """The current row and the ``n - 1`` rows before it."""
-        if n - 1 > self.back:
-            raise ValueError(f"a frame of {n} rows needs back >= {n - 1}, got {self.back}")
+        self._reaches(n - 1)
         return self.order.rowsBetween(-(n - 1), 0)
 
-    def lag(self, x: Column | str, k: int = 1) -> Column:
-        if k > self.back:
-            raise ValueError(f"a lag of {k} rows needs back >= {k}, got {self.back}")
-        return F.lag(x, k).over(self.order) if k else _column(x)
+    # The operators below take a column name or an SQL call and build one SQL text each:
+    # a bank has hundreds of window calls, and a text crosses to the JVM in one piece.
+
+    def lag(self, x: str, k: int = 1) -> Column:
+        return F.expr(self._lag(x, k))
 
-    def lead(self, x: Column | str, k: int = 1) -> Column:
+    def lead(self, x: str, k: int = 1) -> Column:
         if k > self.ahead:
             raise ValueError(f"a lead of {k} rows needs ahead >= {k}, got {self.ahead}")
-        return F.lead(x, k).over(self.order) if k else _column(x)
-
-    def full(self, x: Column | str, n: int, value: Column) -> Column:
-        """``value`` where the frame of ``n`` rows holds no missing ``x``, else NULL."""
-        return F.when(F.count(x).over(self.frame(n)) == n, value)
+        return F.expr(f"lead({_sql(x)}, {k}) {self._over()}" if k else _sql(x))
 
     def diff(self, x: str, k: int = 1) -> Column:
-        return F.col(x) - self.lag(x, k)
+        return F.expr(f"{_sql(x)} - {self._lag(x, k)}")
+
+    def pct_change(self, x: str, k: int) -> Column:
+        return F.expr(f"try_divide({_sql(x)}, {self._lag(x, k)}) - 1")
 
-    def mean(self, x: Column | str, n: int) -> Column:
-        return self.full(x, n, F.avg(x).over(self.frame(n)))
+    def mean(self, x: str, n: int) -> Column:
+        return self._full(x, n, self._rolling("avg", x, n))
 
-    def std(self, x: Column | str, n: int) -> Column:
-        return self.full(x, n, F.stddev_samp(x).over(self.frame(n)))
+    def std(self, x: str, n: int) -> Column:
+        return self._full(x, n, self._rolling("stddev_samp", x, n))
 
-    def min(self, x: Column | str, n: int) -> Column:
-        return self.full(x, n, F.min(x).over(self.frame(n)))
+    def min(self, x: str, n: int) -> Column:
+        return self._full(x, n, self._rolling("min", x, n))
 
-    def max(self, x: Column | str, n: int) -> Column:
-        return self.full(x, n, F.max(x).over(self.frame(n)))
+    def max(self, x: str, n: int) -> Column:
+        return self._full(x, n, self._rolling("max", x, n))
 
-    def mean_available(self, x: Column | str, n: int) -> Column:
+    def mean_available(self, x: str, n: int) -> Column:
         """Rolling mean over whatever part of the frame exists."""
-        return F.avg(x).over(self.frame(n))
+        return F.expr(self._rolling("avg", x, n))
 
     def zscore(self, x: str, n: int) -> Column:
-        frame = self.frame(n)
-        return self.full(x, n, F.try_divide(F.col(x) - F.avg(x).over(frame), F.stddev_samp(x).over(frame)))
+        centred = f"{_sql(x)} - {self._rolling('avg', x, n)}"
+        return self._full(x, n, f"try_divide({centred}, {self._rolling('stddev_samp', x, n)})")
 
-    def pct_change(self, x: str, k: int) -> Column:
-        return F.try_divide(F.col(x), self.lag(x, k)) - 1
+    def _full(self, x: str, n: int, value: str) -> Column:
+        """``value`` where the frame of ``n`` rows holds no missing ``x``, else NULL."""
+        return F.expr(f"CASE WHEN {self._rolling('count', x, n)} = {n} THEN {value} END")
+
+    def _reaches(self, k: int) -> None:
+        if k > self.back:
+            raise ValueError(f"looking {k} rows back needs back >= {k}, got {self.back}")
+
+    def _over(self, rows: str = "") -> str:
+        keys = ", ".join(f"`{k}`" for k in self.spec.block_keys)
+        return f"OVER (PARTITION BY {keys} ORDER BY {ROW}{rows})"
+
+    def _rolling(self, function: str, x: str, n: int) -> str:
+        self._reaches(n - 1)
+        return f"{function}({_sql(x)}) {self._over(f' ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW')}"
+
+    def _lag(self, x: str, k: int) -> str:
+        self._reaches(k)
+        return f"lag({_sql(x)}, {k}) {self._over()}" if k else _sql(x)
 
 
-def _column(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def _sql(x: str) -> str:
+    """A call stays as it is, a column name is quoted."""
+    return x if "(" in x else f"`{x}`"

@@ -94,23 +94,23 @@ def source_coverage(spark, d):
 
 @register
 def asof_align(spark, d):
-    return align_grid(tb.daily_bars(spark, d).select("ts"), tb.external(spark, d), ["order_flow"], tb.DAILY)
+    return align_grid(tb.stored_daily(spark, d).select("ts"), tb.external(spark, d), ["order_flow"], tb.DAILY)
 
 
 @register
 def asof_multi(spark, d):
-    bars = tb.daily_bars(spark, d).select("symbol", "ts", "close")
+    bars = tb.stored_daily(spark, d).select("symbol", "ts", "close")
     return align_sources(bars, tb.external(spark, d), tb.SOURCES, tb.DAILY)
 
 
 @register
 def asof_interval(spark, d):
-    return align_intervals(tb.daily_bars(spark, d).select("ts"), tb.external(spark, d), tb.DAILY)
+    return align_intervals(tb.stored_daily(spark, d).select("ts"), tb.external(spark, d), tb.DAILY)
 
 
 @register
 def align_fill_rate(spark, d):
-    aligned = align_sources(tb.daily_bars(spark, d).select("symbol", "ts"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
+    aligned = align_sources(tb.stored_daily(spark, d).select("symbol", "ts"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
     return rounded(pf.fill_rates(aligned, tb.SOURCES), 6, "pct")
 
 
@@ -264,7 +264,7 @@ def technical_features(spark, d):
 
 
 def _aligned_index(spark, d):
-    aligned = aligned_bars(tb.daily_bars(spark, d).drop("n_ticks"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
+    aligned = aligned_bars(tb.stored_daily(spark, d).drop("n_ticks"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
     return index_rows(aligned, tb.DAILY)
 
 
@@ -324,7 +324,7 @@ def warmup_cut(spark, d):
 
 
 def _matrix(spark, d):
-    aligned = aligned_bars(tb.daily_bars(spark, d).drop("n_ticks"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
+    aligned = aligned_bars(tb.stored_daily(spark, d).drop("n_ticks"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
     return feature_matrix(aligned, tb.DAILY)
 
 

@@ -76,8 +76,8 @@ DAILY = """daily AS MATERIALIZED (
 
 HOURLY = """hourly AS MATERIALIZED (
   SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts,
-         first("value" ORDER BY events.ts, event_id) AS open, max("value") AS high, min("value") AS low,
-         last("value" ORDER BY events.ts, event_id) AS close,
+         first("value" ORDER BY event_id) AS open, max("value") AS high, min("value") AS low,
+         last("value" ORDER BY event_id) AS close,
          count(*)::DOUBLE AS volume, count(*)::BIGINT AS n_ticks
   FROM events WHERE "value" IS NOT NULL AND events.ts IS NOT NULL GROUP BY event_type, date_trunc('hour', events.ts))"""
 

@@ -47,24 +47,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return build_bars(
         table(spark, sf_dir, "events"),
         key="event_type",
         ts="ts",
         price="value",
-        order=arrival_order((micros, 18), (F.col("event_id"), 19)),
+        order=F.col("event_id"),
     )
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # order and line repeat, but rows that also agree in price give the same open and close
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     cents = F.round(F.col("l_extendedprice") * 100)
     return build_bars(
         table(spark, sf_dir, "lineitem"),
         key="l_returnflag",
         ts="l_shipdate",
         price="l_extendedprice",
-        order=arrival_order((F.col("l_orderkey"), 19), (F.col("l_linenumber"), 3), (cents, 12)),
+        order=arrival_order((line, 19), (cents, 12)),
         width="1 day",
         volume=F.col("l_quantity"),
     )
