@@ -66,8 +66,8 @@ def aligned_bars(bars: DataFrame, external: DataFrame, sources: Sequence[str], s
 def feature_matrix(aligned: DataFrame, spec: SeriesSpec, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Bar columns, technical, macro, sentiment and calendar features and targets.
 
-    ``aligned`` must be stored or materialised. Rows keep their ``rn`` and ``n_rows`` of the
-    whole series; the warm-up rows are gone.
+    ``aligned`` must be stored or materialised. The warm-up rows are gone, and ``rn`` and
+    ``n_rows`` count the rows that are left.
     """
     ignore = (*spec.keys, spec.ts, "n_ticks")
     macro, sentiment = route(aligned.columns, ignore)
@@ -88,6 +88,9 @@ def feature_matrix(aligned: DataFrame, spec: SeriesSpec, config: FeatureConfig =
         )
     )
     rows = smoothed_columns(rows, spec).withColumns(calendar_columns(spec.ts))
-    return rows.where(F.col(ROW) >= config.warmup).select(
+    kept = rows.where(F.col(ROW) >= config.warmup).withColumns(
+        {ROW: F.col(ROW) - config.warmup, ROWS: F.col(ROWS) - config.warmup}
+    )
+    return kept.select(
         *spec.keys, spec.ts, ROW, ROWS, *BAR_COLUMNS, *TECHNICAL, *external, *CALENDAR, *config.targets
     )

@@ -41,14 +41,20 @@ def read_external_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All ``macro_*`` and ``sentiment_*`` parquet entries of a folder in long form.
 
     The name without the prefix becomes ``source``. Columns are resolved by name, so files
-    that carry a keyword give one source per keyword.
+    that carry a keyword give one source per keyword. Nanosecond times, which pandas writes
+    by default, are read as numbers and cut to microseconds.
     """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     files = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
     raw = files.parquet(f"{folder}/{{macro,sentiment}}_*.parquet")
     name = F.regexp_extract(F.input_file_name(), r"/(?:macro|sentiment)_([^/]+?)\.parquet", 1)
     if "keyword" in raw.columns:
         name = F.when(F.col("keyword").isNotNull(), F.concat_ws(":", name, "keyword")).otherwise(name)
-    return raw.select(name.alias("source"), "value_date", "release_date", F.col("value").cast("double").alias("value"))
+    dates = [
+        (F.timestamp_micros(F.floor(F.col(c) / 1000)) if dict(raw.dtypes)[c] == "bigint" else F.col(c)).alias(c)
+        for c in ("value_date", "release_date")
+    ]
+    return raw.select(name.alias("source"), *dates, F.col("value").cast("double").alias("value"))
 
 
 def read_sentiment_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidegauge.operators.bars import build_bars
 
@@ -20,8 +21,10 @@ def streaming_bars(
 ) -> DataFrame:
     """Bars of a tick stream; a bar is final once the watermark passes its end.
 
-    State is one open row per series and step, so it is bounded by the lateness.
+    State is one open row per series and step, so it is bounded by the lateness. Event time
+    is an instant, so times without a zone are read in the session zone.
     """
-    return build_bars(
-        ticks.withWatermark(ts, lateness), key=key, ts=ts, price=price, order=order, width=width, volume=volume
-    )
+    kind = ticks.schema[ts].dataType
+    stamped = ticks.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    bars = build_bars(stamped, key=key, ts=ts, price=price, order=order, width=width, volume=volume)
+    return bars if kind.simpleString() == "timestamp" else bars.withColumn("ts", F.col("ts").cast(kind))
