@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.stats import pearson
 from tidegauge.operators.ordered import average_ranks, running_totals
+from tidegauge.session import materialise
 
 CLASSES = (-1, 0, 1)
 NAMES = ("neg", "neu", "pos")
@@ -21,10 +22,13 @@ def complete(preds: DataFrame) -> DataFrame:
 
 
 def spearman(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Correlation of average ranks, from the distinct (y_true, y_pred) pairs and their counts."""
-    pairs = complete(preds).groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w"))
-    true_ranks = average_ranks(complete(preds), keys, "y_true").withColumnRenamed("rank", "rt")
-    pred_ranks = average_ranks(complete(preds), keys, "y_pred").withColumnRenamed("rank", "rp")
+    """Correlation of average ranks, from the distinct (y_true, y_pred) pairs and their counts.
+
+    The pairs are stored, so the predictions are read once for the two ranks and their join.
+    """
+    pairs = materialise(complete(preds).groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("w")))
+    true_ranks = average_ranks(pairs, keys, "y_true", "w").withColumnRenamed("rank", "rt")
+    pred_ranks = average_ranks(pairs, keys, "y_pred", "w").withColumnRenamed("rank", "rp")
     ranked = pairs.join(true_ranks, [*keys, "y_true"]).join(pred_ranks, [*keys, "y_pred"])
     w, rt, rp = F.col("w"), F.col("rt"), F.col("rp")
     sums = ranked.groupBy(*keys).agg(
@@ -40,7 +44,7 @@ def spearman(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def regression_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The nine regression metrics per group of ``(y_true, y_pred)`` rows."""
+    """The nine regression metrics per group of ``(y_true, y_pred)`` rows (read twice)."""
     yt, yp = F.col("y_true"), F.col("y_pred")
     err = yt - yp
     sse, sst = F.sum(err * err), F.var_pop(yt) * F.count(yt)

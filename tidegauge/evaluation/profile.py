@@ -204,6 +204,10 @@ def binned_information(df: DataFrame, features: Sequence[str], target: str, bins
 
     Class labels work as they are: repeated quantiles merge, which leaves one bin per label.
     """
+    if not keys:
+        # a constant key keeps the lookup of the edges an ordinary join with one row
+        whole = binned_information(df.withColumn("_all", F.lit(0)), features, target, bins, ["_all"])
+        return whole.drop("_all")
     known = df.dropna(subset=[*features, target])
     columns = [*features, target]
     probs = [i / bins for i in range(1, bins)]
@@ -214,7 +218,7 @@ def binned_information(df: DataFrame, features: Sequence[str], target: str, bins
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges"))).alias("edges"))
     )
-    rows = known.join(edges, list(keys)) if keys else known.join(F.broadcast(edges))  # a single row
+    rows = known.join(edges, list(keys))
 
     def bin_of(c: str):
         return F.size(F.filter(F.element_at("edges", F.lit(c)), lambda e: e < F.col(c)))

@@ -27,7 +27,7 @@ def check_external(external: DataFrame) -> None:
 def latest_per_release(external: DataFrame) -> DataFrame:
     """One row per (source, release_date): the latest fact wins, then the larger value.
 
-    The value is wrapped in a struct, so a released NULL replaces the value before it.
+    A value may be NULL: releasing "unknown" replaces the value before it.
     """
     check_external(external)
     rank = [c for c in ("value_date",) if c in external.columns]
@@ -35,45 +35,60 @@ def latest_per_release(external: DataFrame) -> DataFrame:
         external.where(F.col("release_date").isNotNull())
         .groupBy("source", "release_date")
         .agg(F.max(F.struct(*rank, "value")).alias("_m"))
-        .select("source", "release_date", F.struct(F.col("_m.value").alias("v")).alias("fact"))
+        .select("source", "release_date", F.col("_m.value").alias("value"))
     )
 
 
 def align_grid(times: DataFrame, external: DataFrame, sources: Sequence[str], spec: SeriesSpec) -> DataFrame:
-    """``(ts, <one column per source>)`` for every distinct time in ``times``."""
+    """``(ts, <one column per source>)`` for every distinct time in ``times``.
+
+    Per source a flag says whether something was released at a time and a value what; both
+    are plain columns, so the merge of grid and releases is one hash aggregate.
+    """
     facts = latest_per_release(external.where(F.col("source").isin(list(sources))))
-    columns = [f"_f{i}" for i in range(len(sources))]
+    tags = [f"_f{i}" for i in range(len(sources))]
     stamp = times.schema[spec.ts].dataType.simpleString()
+
+    def columns(flag: dict[str, Column], value: dict[str, Column]) -> list[Column]:
+        return [c for t in tags for c in (flag[t].alias(f"{t}_set"), value[t].alias(t))]
+
+    is_source = {t: F.col("source") == s for t, s in zip(tags, sources, strict=True)}
     events = facts.select(
         F.col("release_date").cast(stamp).alias(spec.ts),
         F.lit(False).alias("_grid"),
-        *[F.when(F.col("source") == s, F.col("fact")).alias(c) for s, c in zip(sources, columns, strict=True)],
+        *columns(is_source, {t: F.when(is_source[t], F.col("value")) for t in tags}),
     )
-    empty = F.lit(None).cast("struct<v:double>")
-    grid = times.select(spec.ts, F.lit(True).alias("_grid"), *[empty.alias(c) for c in columns])
+    nothing = F.lit(None).cast("double")
+    grid = times.select(spec.ts, F.lit(True).alias("_grid"), *columns({t: F.lit(False) for t in tags}, {t: nothing for t in tags}))
     steps = (
         grid.unionByName(events)
         .groupBy(spec.ts)
-        .agg(F.bool_or("_grid").alias("_grid"), *[F.max(c).alias(c) for c in columns])
+        .agg(
+            F.bool_or("_grid").alias("_grid"),
+            *columns({t: F.bool_or(f"{t}_set") for t in tags}, {t: F.max(t) for t in tags}),
+        )
         .withColumn("_tb", time_bucket(spec.ts, spec.bar_seconds, spec.block_rows))
     )
+    fact = {t: F.when(F.col(f"{t}_set"), F.struct(F.col(t).alias("v"))) for t in tags}
     inside = Window.partitionBy("_tb").orderBy(spec.ts).rowsBetween(Window.unboundedPreceding, 0)
-    filled = steps.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
-    # one row per time block: the value each block leaves behind
+    filled = steps.select(
+        spec.ts, "_tb", "_grid", *[F.last(fact[t], ignorenulls=True).over(inside).alias(f"{t}_here") for t in tags]
+    )
+    # one row per time block: what each block leaves behind
     ends = steps.groupBy("_tb").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(spec.ts))).alias(c) for c in columns]
+        *columns(
+            {t: F.bool_or(f"{t}_set") for t in tags},
+            {t: F.max_by(t, F.when(F.col(f"{t}_set"), F.col(spec.ts))) for t in tags},
+        )
     )
     before = Window.orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_tb", *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_in") for c in columns])
+    carried = ends.select("_tb", *[F.last(fact[t], ignorenulls=True).over(before).alias(f"{t}_in") for t in tags])
     return (
         filled.where("_grid")
         .join(carried, "_tb", "left")
         .select(
             spec.ts,
-            *[
-                F.coalesce(F.col(c), F.col(f"{c}_in"))["v"].alias(s)
-                for s, c in zip(sources, columns, strict=True)
-            ],
+            *[F.coalesce(f"{t}_here", f"{t}_in")["v"].alias(s) for t, s in zip(tags, sources, strict=True)],
         )
     )
 
@@ -86,14 +101,13 @@ def align_sources(bars: DataFrame, external: DataFrame, sources: Sequence[str],
 
 
 def release_intervals(external: DataFrame) -> DataFrame:
-    """``(source, valid_from, valid_to, fact)``: each fact until the next release of its source."""
-    facts = latest_per_release(external)
+    """``(source, valid_from, valid_to, value)``: each fact until the next release of its source."""
     order = Window.partitionBy("source").orderBy("release_date")
-    return facts.select(
+    return latest_per_release(external).select(
         "source",
         F.col("release_date").alias("valid_from"),
         F.lead("release_date").over(order).alias("valid_to"),
-        "fact",
+        "value",
     )
 
 
@@ -101,23 +115,20 @@ def align_intervals(times: DataFrame, external: DataFrame, spec: SeriesSpec) ->
     """Long form ``(ts, source, value)`` by interval lookup, for externals with few releases.
 
     Intervals are spread over the days they cover, which turns the range condition into an
-    equality on the day; no pair outside one day is ever formed. The last interval of a
-    source is closed at the last bar.
+    equality on the day; no pair outside one day is ever formed. The span of the grid (two
+    dates) is read first, to close the last interval of each source.
     """
     grid = times.select(spec.ts).distinct().withColumn("_day", F.to_date(spec.ts))
-    horizon = grid.agg(F.max("_day").alias("_end"), F.min("_day").alias("_begin"))
-    day = F.to_date("valid_from")
-    until = F.coalesce(F.to_date("valid_to"), F.col("_end"))
+    begin, end = grid.agg(F.min("_day"), F.max("_day")).first()
     days = (
         release_intervals(external)
-        .join(F.broadcast(horizon))  # a single row
-        .withColumn("_from", F.greatest(day, F.col("_begin")))
-        .withColumn("_to", F.least(until, F.col("_end")))
+        .withColumn("_from", F.greatest(F.to_date("valid_from"), F.lit(begin)))
+        .withColumn("_to", F.least(F.coalesce(F.to_date("valid_to"), F.lit(end)), F.lit(end)))
         .where(F.col("_from") <= F.col("_to"))
         .withColumn("_day", F.explode(F.sequence("_from", "_to")))
-        .drop("_begin", "_end", "_from", "_to")
+        .drop("_from", "_to")
     )
     inside: Column = (F.col("valid_from") <= F.col(spec.ts)) & (
         F.col("valid_to").isNull() | (F.col(spec.ts) < F.col("valid_to"))
     )
-    return grid.join(days, "_day").where(inside).select(spec.ts, "source", F.col("fact.v").alias("value"))
+    return grid.join(days, "_day").where(inside).select(spec.ts, "source", "value")

@@ -53,15 +53,19 @@ def running_totals(
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct non-null values with their count ``n``, the count before them and in total."""
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct non-null values with their count ``n``, the count before them and in total.
+
+    ``weight`` names a count column when the rows are already grouped.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
     return running_totals(distinct, keys, value, ["n"])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """1-based ranks of the distinct values, ties sharing the mean rank, as ``rank``."""
-    return value_counts(df, keys, value).select(
+    return value_counts(df, keys, value, weight).select(
         *keys, value, (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank")
     )
 

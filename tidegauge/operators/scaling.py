@@ -30,10 +30,14 @@ def fit_scaler(train: DataFrame, features: Sequence[str], keys: Sequence[str] =
     )
 
 
-def _wide(stats: DataFrame, features: Sequence[str], keys: Sequence[str], value) -> DataFrame:
-    """One row per series with a value per feature; features are known, so no pivot scan."""
+def _wide(stats: DataFrame, features: Sequence[str], keys: Sequence[str], *values: str) -> DataFrame:
+    """One row per series with ``_<value>_<i>`` per feature; features are known, so no pivot scan."""
     return stats.groupBy(*keys).agg(
-        *[F.any_value(F.when(F.col("feature") == c, value), True).alias(f"_st_{i}") for i, c in enumerate(features)]
+        *[
+            F.any_value(F.when(F.col("feature") == c, F.col(v)), True).alias(f"_{v}_{i}")
+            for i, c in enumerate(features)
+            for v in values
+        ]
     )
 
 
@@ -50,12 +54,16 @@ def apply_scaler(
     is otherwise a skew-aware join on the series.
     """
     _require(df, features)
-    stats = _wide(scaler, features, keys, F.struct("mean", "scale"))
+    stats = _wide(scaler, features, keys, "mean", "scale")
     scaled = {}
     for i, c in enumerate(features):
-        value = (F.col(c) - F.col(f"_st_{i}.mean")) / F.col(f"_st_{i}.scale")
+        value = (F.col(c) - F.col(f"_mean_{i}")) / F.col(f"_scale_{i}")
         scaled[c] = value if fill is None else F.coalesce(value, F.lit(float(fill)))
-    return df.join(stats, list(keys), "left").withColumns(scaled).drop(*[f"_st_{i}" for i in range(len(features))])
+    return df.join(stats, list(keys), "left").withColumns(scaled).drop(*_added(stats, keys))
+
+
+def _added(stats: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [c for c in stats.columns if c not in keys]
 
 
 def train_medians(train: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -70,9 +78,9 @@ def train_medians(train: DataFrame, features: Sequence[str], keys: Sequence[str]
 def impute(df: DataFrame, medians: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Missing features become the train median."""
     _require(df, features)
-    stats = _wide(medians, features, keys, F.col("median"))
-    filled = {c: F.coalesce(F.col(c), F.col(f"_st_{i}")) for i, c in enumerate(features)}
-    return df.join(stats, list(keys), "left").withColumns(filled).drop(*[f"_st_{i}" for i in range(len(features))])
+    stats = _wide(medians, features, keys, "median")
+    filled = {c: F.coalesce(F.col(c), F.col(f"_median_{i}")) for i, c in enumerate(features)}
+    return df.join(stats, list(keys), "left").withColumns(filled).drop(*_added(stats, keys))
 
 
 def recode_label(column: str) -> Column:

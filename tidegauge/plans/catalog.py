@@ -670,7 +670,8 @@ def ar_evaluation(spark, d):
     rows = materialise(sp.chronological_split(_targets(spark, d)))
     coefs = bl.fit_ar(bl.ar_moments(_ar_rows(spark, d).where("split = 'train'"), ["symbol"]), ["symbol"], H)
     out = bl.attach_forecast(rows.select("symbol", "ts", ROW, ROWS, "close", "y_reg_h24", "split", "split_row"), coefs, tb.DAILY, H)
-    return split_metrics(out.withColumn("y_true", F.col("y_reg_h24")), "regression")
+    preds = materialise(out.select("symbol", "ts", "split", F.col("y_reg_h24").alias("y_true"), "y_pred"))
+    return split_metrics(preds, "regression")
 
 
 # --- metrics and diagnostics --------------------------------------------------------------------

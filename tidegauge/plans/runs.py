@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ class BuildConfig:
         return f"{self.root.rstrip('/')}/{name}"
 
 
+def _side_by_side(*single_rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row."""
+    keyed = [df.withColumn("_one", F.lit(1)) for df in single_rows]
+    return reduce(lambda a, b: a.join(b, "_one"), keyed).drop("_one")
+
+
 def run_align(bars: DataFrame, external: DataFrame, sources: Sequence[str], config: BuildConfig, strict: bool = False) -> DataFrame:
     """Store bars, check them, align the externals; returns the summary it stores."""
     spark, spec = bars.sparkSession, config.spec
@@ -56,8 +63,7 @@ def run_align(bars: DataFrame, external: DataFrame, sources: Sequence[str], conf
     span = aligned.agg(
         F.count(F.lit(1)).alias("rows"), F.min(spec.ts).alias("start_ts"), F.max(spec.ts).alias("end_ts")
     )
-    # one row each
-    summary = materialise(span.join(F.broadcast(rates)).join(F.broadcast(issue_summary(issues))))
+    summary = materialise(_side_by_side(span, rates, issue_summary(issues)))
     write_summary(summary, config.path("align_summary"))
     return summary
 
@@ -77,7 +83,7 @@ def feature_summary(table: DataFrame, spec: SeriesSpec, config: FeatureConfig) -
         F.round(F.col("_m") * 1e4, 4).alias("y_reg_mean_bp"),
         F.round(F.col("_s") * 1e4, 4).alias("y_reg_std_bp"),
     )
-    return size.join(F.broadcast(gaps)).join(F.broadcast(balance))  # one row each
+    return _side_by_side(size, gaps, balance)
 
 
 def run_features(spark: SparkSession, config: BuildConfig) -> DataFrame:
