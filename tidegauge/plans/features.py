@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.calendar import CALENDAR, calendar_columns
 from tidegauge.functions.external import (
     BAR_COLUMNS,
+    EXTERNAL_REACH,
     RECIPES,
     macro_names,
     macro_stages,
@@ -71,7 +72,7 @@ def feature_matrix(aligned: DataFrame, spec: SeriesSpec, config: FeatureConfig =
     """
     ignore = (*spec.keys, spec.ts, "n_ticks")
     macro, sentiment = route(aligned.columns, ignore)
-    reach = config.lag + max(BANK_REACH, config.vol_window + 1)
+    reach = config.lag + max(BANK_REACH, EXTERNAL_REACH, config.vol_window + 1)
     b = Blocked.of(index_rows(aligned, spec), spec, back=reach, ahead=config.horizon)
     b = b.run(
         technical_stages(b, config.lag),
