@@ -666,9 +666,11 @@ def ar_fit(spark, d):
 @register
 def ar_evaluation(spark, d):
     """Fitted AR forecasts measured on every split."""
-    rows = materialise(sp.chronological_split(_targets(spark, d)))
-    coefs = bl.fit_ar(bl.ar_moments(_ar_rows(spark, d).where("split = 'train'"), ["symbol"]), ["symbol"], H)
-    out = bl.attach_forecast(rows.select("symbol", "ts", ROW, ROWS, "close", "y_reg_h24", "split", "split_row"), coefs, tb.DAILY, H)
+    rows = sp.chronological_split(_targets(spark, d))
+    rows = materialise(rows.select("symbol", "ts", ROW, ROWS, "close", "y_reg_h24", "split", "split_row"))
+    b = Blocked.of(rows, tb.DAILY, back=7)
+    train = b.run(bl.lagged_returns(b, max(bl.ORDERS))).home().where("split = 'train'")
+    out = bl.attach_forecast(rows, bl.fit_ar(bl.ar_moments(train, ["symbol"]), ["symbol"], H), tb.DAILY, H)
     preds = materialise(out.select("symbol", "ts", "split", F.col("y_reg_h24").alias("y_true"), "y_pred"))
     return split_metrics(preds, "regression")
 
