@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.blocks import Blocked, SeriesSpec, Stages
 
+# the solve below travels with its helpers, so executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: candidate orders
 ORDERS = (1, 2, 3, 5)
 CLASSES = (-1, 0, 1)
