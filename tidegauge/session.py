@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,21 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, once per context.
+
+    The sources go to the executors through the context's own file service, so nothing has
+    to be installed on them.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidegauge_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "tidegauge_src.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidegauge_shipped = True
