@@ -232,7 +232,7 @@ def find_contaminated(
     loose: float = 0.6,
     answer: float = 0.8,
     rank: int = 256,
-    common: float = 1e-3,
+    common: float = 3e-5,
     rarest: int = 6,
     block_items: int = 4096,
 ) -> DataFrame:
@@ -269,7 +269,7 @@ def find_contaminated(
     return docs.select(F.col("doc_id").cast("long")).alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "contaminated", "items", "best_lcs")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, exact: float = 0.75, loose: float = 0.6, answer: float = 0.8, rank: int = 256, common: float = 1e-3, rarest: int = 6, block_items: int = 4096) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, exact: float = 0.75, loose: float = 0.6, answer: float = 0.8, rank: int = 256, common: float = 3e-5, rarest: int = 6, block_items: int = 4096) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``find_contaminated`` finds nothing."""
     ship_package(docs.sparkSession)
     out = docs
