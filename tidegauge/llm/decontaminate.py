@@ -3,8 +3,8 @@
 1. The columns are the benchmark's own words (letters and digits, A-Z lower-cased), weighted by
    inverse frequency in all documents. Words above ``common`` of all words are left out of the
    latent space, except that every item keeps its ``rarest`` rarest words.
-2. *Randomised SVD.* Passages of ``2 * STEP`` words of all documents and the items are the rows
-   ``X``. Each task folds its passages into ``X' (X omega)``; from the sum the Nystroem form
+2. *Randomised SVD.* Passages of ``2 * STEP`` words of all documents and the items, weighted up,
+   are the rows ``X``. Each task folds its passages into ``X' (X omega)``; from the sum the Nystroem form
    gives the right singular vectors in a single pass. The matrix on the driver has one row per benchmark
    word and ``rank`` columns, whatever the corpus.
 3. *Candidates.* Windows of ``SPAN`` words, one every ``STEP`` words, meet all items by cosine
@@ -132,7 +132,11 @@ def latent_space(docs: DataFrame, items: Items, rank: int, common: float, rarest
         return out.ravel()
 
     y = summed(texts, fold, size * k).reshape(size, k)
-    _add_gram(y, np.repeat(np.arange(len(columns)), [len(c) for c in columns]), np.concatenate(columns), weight, omega)
+    own = np.zeros((size, k))
+    flat = np.concatenate(columns)
+    _add_gram(own, np.repeat(np.arange(len(columns)), [len(c) for c in columns]), flat, weight, omega)
+    # the items count four times the corpus, or its many passages would crowd their rare words out
+    y += own * (4 * max(seen[:size] @ weight**2, 1.0) / max((weight[flat] ** 2).sum(), 1e-9))
     # A = X'X is known by Y = A omega only: A = Y (omega' Y)^-1 Y'
     shift = 1e-6 * max(np.linalg.norm(y), 1e-9)
     y = y + shift * omega

@@ -5,9 +5,11 @@ a grid of cells, and every vector lies in one. A query visits cells in the order
 distance at which they can hold a neighbour, by a multi-sequence walk over both halves: for
 centroid ``i`` against the query's own ``a`` that distance is at least
 ``(d(q, i)**2 - d(q, a)**2) / (2 * |c_i - c_a|)``. The walk ends when the distances of both
-halves exceed the search radius together, ``reach`` of it: at 1 no neighbour is missed, so
-recall is 1; a smaller ``reach`` trades recall for visits. Visited members are verified by
-cosine in double precision.
+halves exceed the search radius together, ``reach`` of its square: at 1 no neighbour can be missed.
+A smaller reach is fitted: ``queries`` vectors, by hash order, meet all vectors, and the
+reach is taken that covers ``recall`` of the pairs they have, and a half more. With fewer
+than 200 such pairs the reach is 1. Visited members are verified by cosine in double
+precision.
 
 Equal vectors collapse first. Cells are cut into blocks of about ``block`` vectors; the members of a block
 are held while its visitors stream by, and a block sends counts and a spanning forest of the
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.components import components
 from tidegauge.llm.text import map_batches
+from tidegauge.llm.vectors import summed
 from tidegauge.session import materialise, ship_package
 
 
@@ -139,7 +142,7 @@ def _compare(least: float) -> object:
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, per_cell: int = 64, block: int = 1024, reach: float = 1.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, per_cell: int = 64, block: int = 1024, queries: int = 1024, recall: float = 0.999) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding, label)``.
 
     Two vectors link when their labels are equal and not null, their lengths are equal and
@@ -171,7 +174,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, pe
     results = []
     for dim in dims:
         own = nodes.where(F.size("embedding") == dim)
-        results.append(_links(own, dim, least, sample, per_cell, block, reach))
+        results.append(_links(own, dim, least, sample, per_cell, block, queries, recall))
     found = materialise(_union(results)) if results else spark.createDataFrame([], "u long, v long, n long")
     labels = components(found.select("u", "v"))
     linked = found.groupBy("u").agg(F.sum("n").alias("n"))
@@ -182,6 +185,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, pe
     return placed.unionAll(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _fitted_reach(nodes: DataFrame, asked, books, cut: int, least: float, recall: float, bins: int = 1000) -> float:
+    """Share of the squared radius that covers ``recall`` of the pairs of some queries with all vectors."""
+    q, labels, names = asked
+    width = len(books[1])
+    q1, qb1 = half_bounds(q[:, :cut], books[0])
+    q2, qb2 = half_bounds(q[:, cut:], books[1])
+
+    def fold(batches) -> np.ndarray:
+        out = np.zeros(bins + 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column("embedding"), q.shape[1])
+            own, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "node"))
+            hit = (v @ q.T >= least) & (own[:, None] == labels[None, :]) & (node[:, None] != names[None, :])
+            i, j = np.nonzero(hit)
+            if not len(i):
+                continue
+            v1, b1 = half_bounds(v[:, :cut], books[0])
+            v2, b2 = half_bounds(v[:, cut:], books[1])
+            # the vector of the lower cell visits the other's
+            forward = v1[i] * width + v2[i] >= q1[j] * width + q2[j]
+            need = np.where(forward, qb1[j, v1[i]] ** 2 + qb2[j, v2[i]] ** 2, b1[i, q1[j]] ** 2 + b2[i, q2[j]] ** 2)
+            out += np.bincount(np.minimum(np.ceil(need / (2 * (1 - least)) * bins), bins).astype(int), minlength=bins + 1)
+        return out
+
+    found = summed(nodes.select("node", "label", F.col("embedding").cast("array<float>").alias("embedding")), fold, bins + 1)
+    if found.sum() < 200:
+        return 1.0
+    covered = np.searchsorted(np.cumsum(found), recall * found.sum())
+    return min(1.0, 1.5 * covered / bins + 0.02)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
@@ -189,16 +225,18 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _links(nodes: DataFrame, dim: int, least: float, sample: int, per_cell: int, block: int, reach: float) -> DataFrame:
+def _links(nodes: DataFrame, dim: int, least: float, sample: int, per_cell: int, block: int, queries: int, recall: float) -> DataFrame:
     spark = nodes.sparkSession
     total = nodes.count()
-    rows = nodes.select("h1", "node", "embedding").orderBy("h1", "node").limit(sample).collect()
+    rows = nodes.select("h1", "node", "label", "embedding").orderBy("h1", "node").limit(sample).collect()
     x = np.array([r.embedding for r in rows], dtype=np.float64)
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     k = int(min(256, max(1, math.isqrt(max(1, total // per_cell)))))
     cut = max(1, dim // 2)
     books = (codebook(x[:, :cut], k), codebook(x[:, cut:], k) if dim > 1 else np.zeros((1, 0)))
-    width, radius2 = len(books[1]), reach * 2 * (1 - least) + 1e-9
+    width = len(books[1])
+    asked = (x[:queries], np.array([r.label for r in rows[:queries]]), np.array([r.node for r in rows[:queries]]))
+    radius2 = _fitted_reach(nodes, asked, books, cut, least, recall) * 2 * (1 - least) + 1e-9
 
     def place(batch: pa.RecordBatch):
         v = _matrix(batch.column("embedding"), dim)
