@@ -101,5 +101,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
 }
-
-ORACLES: dict[str, str] = {}

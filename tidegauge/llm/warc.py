@@ -64,11 +64,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     plain = F.when(named("Content-Transfer-Encoding") == "base64", F.unbase64("_b").cast("string")).otherwise(F.col("_b"))
     return rows.select(
         "shard",
-        F.regexp_extract(head, r"<urn:page:(-?\d+)>", 1).cast("long").alias("page_id"),
+        F.regexp_extract(head, r"<urn:page:(-?\d+)>", 1).try_cast("long").alias("page_id"),
         named("WARC-Target-URI").alias("url"),
         plain.alias("html"),
         "record",
-        (F.octet_length("_b") == named("Content-Length").cast("long")).alias("sound"),
+        (F.octet_length("_b") == named("Content-Length").try_cast("long")).alias("sound"),
     )
 
 
