@@ -121,7 +121,7 @@ def test_external_folder(spark, tmp_path):
     assert got == {"dxy", "google_trends:gold"}
 
 
-def test_sentiment_files_and_fallback(spark, tmp_path):
+def test_sentiment_files_and_fallback(spark, tmp_path, caplog):
     csv, js = tmp_path / "fg.csv", tmp_path / "fg.json"
     csv.write_text("Date,Score\n2024-01-01,55\n")
     js.write_text(json.dumps({"data": [{"timestamp": "1704067200", "value": "40"}]}))
@@ -130,6 +130,7 @@ def test_sentiment_files_and_fallback(spark, tmp_path):
     assert (str(row.value_date), row.value) == ("2024-01-01 00:00:00", 40.0)
     tries = [(rd.read_sentiment_csv, str(tmp_path / "absent.csv")), (rd.read_sentiment_json, str(js))]
     assert rd.first_available(spark, tries).first().value == 40.0
+    assert "absent.csv could not be read" in caplog.text
     empty = rd.first_available(spark, tries[:1])
     assert empty.columns == ["value_date", "release_date", "value"] and empty.count() == 0
     csv.write_text("a,b\n1,2\n")
@@ -144,10 +145,12 @@ def test_keywords_and_release_dates(spark):
     ext = spark.createDataFrame(
         pd.DataFrame({"source": ["a", "b", "c"], "value_date": pd.Timestamp("2024-01-31"), "value": 1.0})
     )
-    got = rd.stamp_release(ext, {"a": "daily", "b": "monthly"}, {"b": 45}).orderBy("source").toPandas()
+    known = ext.where("source <> 'c'")
+    got = rd.stamp_release(known, {"a": "daily", "b": "monthly"}, {"b": 45}).orderBy("source").toPandas()
     assert str(got.release_date[0].date()) == "2024-02-01"
     assert str(got.release_date[1].date()) == "2024-03-16"
-    assert pd.isna(got.release_date[2])
+    with pytest.raises(Exception, match="no release lag is known for source c"):
+        rd.stamp_release(ext, {"a": "daily", "b": "monthly"}).collect()
     with pytest.raises(ValueError):
         rd.stamp_release(ext, {"a": "hourly"})
 

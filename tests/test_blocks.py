@@ -119,7 +119,20 @@ def test_carries_over_many_groups(spark):
     same([v[0] for v in got._carry], want)
 
 
-def test_steep_alpha_needs_short_blocks(bars):
-    rows = index_rows(bars, SeriesSpec())
+@pytest.mark.parametrize("gaps", [False, True])
+def test_means_of_any_span(spark, gaps):
+    """Short spans get shorter scan blocks; more than one fold group at the small block size."""
+    rng = np.random.default_rng(5)
+    x = pd.Series(100 + np.cumsum(rng.normal(0, 1, 5000)))
+    if gaps:
+        x[rng.random(5000) < 0.2] = np.nan
+        x[1000:1900] = np.nan
+    pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=5000, freq="h"), "x": x})
+    rows = materialise(index_rows(materialise(spark.createDataFrame(pdf)), SeriesSpec()))
+    rows = rows.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    spans = (1, 2, 3, 5, 6, 12)
+    got = ewm_means(rows, SeriesSpec(), {f"e{n}": Ewm.of_span("x", n) for n in spans}).toPandas().sort_values("ts")
+    for n in spans:
+        same(got[f"e{n}"], x.ewm(span=n, adjust=False).mean())
     with pytest.raises(ValueError):
-        ewm_means(rows, SeriesSpec(), {"e": Ewm("close", 0.9)})
+        ewm_means(rows, SeriesSpec(), {"e": Ewm("x", 1.5)})

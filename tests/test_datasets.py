@@ -26,9 +26,16 @@ def test_split_bounds_and_embargo(spark):
     assert {r[0]: (r[1], r[2]) for r in got if r[0]} == {"train": (0, 6975), "val": (7000, 8475), "test": (8500, 9999)}
 
 
-def test_short_series_have_no_split(spark):
+def test_short_series_fail_or_are_listed(spark):
     rows = spark.range(50).select(F.lit("A").alias("symbol"), F.col("id").alias("rn"), F.lit(50).alias("n_rows"))
-    assert sp.chronological_split(rows).where("split IS NOT NULL").count() == 0
+    for frame in (sp.chronological_split(rows), sp.walk_forward(rows)):
+        with pytest.raises(Exception, match="series of 50 rows is too short"):
+            frame.collect()
+    assert sp.chronological_split(rows, short="exclude").where("split IS NOT NULL").count() == 0
+    assert sp.walk_forward(rows, short="exclude").count() == 0
+    assert [tuple(r) for r in sp.excluded_series(rows).collect()] == [("A", 50)]
+    with pytest.raises(ValueError):
+        sp.chronological_split(rows, short="drop")
     with pytest.raises(ValueError):
         sp.require_splittable(rows)
     with pytest.raises(ValueError):

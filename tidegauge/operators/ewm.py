@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,14 +43,26 @@ class Ewm:
 def ewm_means(df: DataFrame, spec: SeriesSpec, wanted: dict[str, Ewm]) -> DataFrame:
     """Add one column per entry of ``wanted`` to indexed rows (``rn`` present, no copies).
 
-    ``df`` is read twice: hand in a stored table or a materialised frame.
+    ``df`` is read twice: hand in a stored table or a materialised frame. Means so short that
+    their weights would underflow within a block are scanned in shorter blocks of their own.
     """
+    by_size: dict[int, dict[str, Ewm]] = {}
     for name, ewm in wanted.items():
-        if not 0.0 < ewm.alpha < 1.0:
-            raise ValueError(f"{name}: alpha must lie in (0, 1)")
-        if -math.log1p(-ewm.alpha) * spec.block_rows > _MAX_EXPONENT:
-            raise ValueError(f"{name}: alpha {ewm.alpha} needs a smaller block_rows than {spec.block_rows}")
-
+        if not 0.0 < ewm.alpha <= 1.0:
+            raise ValueError(f"{name}: alpha must lie in (0, 1]")
+        # at alpha 1 the mean is the last observation; any smaller block size serves it
+        longest = _MAX_EXPONENT / -math.log1p(-ewm.alpha) if ewm.alpha < 1.0 else 16.0
+        by_size.setdefault(min(spec.block_rows, max(2, int(longest))), {})[name] = ewm
+    out = df
+    for size in sorted(by_size):
+        out = _scanned(out if out is df else materialise(out), replace(spec, block_rows=size), by_size[size])
+    if by_size and max(by_size) != spec.block_rows:
+        out = out.withColumn(BLOCK, F.expr(f"{ROW} DIV {spec.block_rows}"))
+    return out
+
+
+def _scanned(df: DataFrame, spec: SeriesSpec, wanted: dict[str, Ewm]) -> DataFrame:
+    """``ewm_means`` for means that ``spec.block_rows`` is short enough for."""
     size, keys = spec.block_rows, ", ".join(f"`{k}`" for k in spec.block_keys)
     upto = f"OVER (PARTITION BY {keys} ORDER BY {ROW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     prior = f"OVER (PARTITION BY {keys} ORDER BY {ROW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -96,11 +108,11 @@ class _Tagged:
 
     @property
     def alpha(self) -> float:
-        return self.ewm.alpha
+        return min(self.ewm.alpha, 1.0 - 1e-15)
 
     @property
     def keep(self) -> float:
-        return 1.0 - self.ewm.alpha
+        return 1.0 - self.alpha
 
 
 def _stage(df: DataFrame, means: list[_Tagged], **parts: Callable[[_Tagged], str]) -> DataFrame:

@@ -33,15 +33,32 @@ def split_bounds(train: float = 0.70, val: float = 0.15, test: float = 0.15, emb
     }
 
 
-def chronological_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test: float = 0.15, embargo: int = 24) -> DataFrame:
-    """Add ``split`` and ``split_row``, the row number inside the split.
-
-    Embargoed rows, and every row of a series too short for all three parts, get NULL.
-    """
-    bounds = split_bounds(train, val, test, embargo)
+def _long_enough(bounds: dict[str, tuple[Column, Column]]) -> Column:
     usable = F.lit(True)
     for start, end in bounds.values():
         usable = usable & (end - start > 0)
+    return usable
+
+
+def _checked(usable: Column, short: str, what: str) -> Column:
+    """``usable``, or an error at the first row for which it is false."""
+    if short not in ("raise", "exclude"):
+        raise ValueError(f"short must be raise or exclude, not {short!r}")
+    if short == "exclude":
+        return usable
+    return F.when(usable, True).otherwise(F.raise_error(F.format_string(f"series of %d rows is too short for {what}", ROWS)).cast("boolean"))
+
+
+def chronological_split(
+    df: DataFrame, train: float = 0.70, val: float = 0.15, test: float = 0.15, embargo: int = 24, short: str = "raise"
+) -> DataFrame:
+    """Add ``split`` and ``split_row``, the row number inside the split; embargoed rows get NULL.
+
+    A series too short for all three parts fails the job. With ``short="exclude"`` all of its
+    rows get NULL instead; ``excluded_series`` lists those series.
+    """
+    bounds = split_bounds(train, val, test, embargo)
+    usable = _checked(_long_enough(bounds), short, "the split")
     name, start_of = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for label in ORDER:
         start, end = bounds[label]
@@ -51,21 +68,23 @@ def chronological_split(df: DataFrame, train: float = 0.70, val: float = 0.15, t
     return df.withColumns({"split": name, "split_row": start_of})
 
 
+def excluded_series(df: DataFrame, keys: Sequence[str] = ("symbol",), **split: float) -> DataFrame:
+    """Keys and row counts of the series too short for the split."""
+    return df.groupBy(*keys).agg(F.max(ROWS).alias(ROWS)).where(~_long_enough(split_bounds(**split)))
+
+
 def require_splittable(df: DataFrame, keys: Sequence[str] = ("symbol",), **split: float) -> None:
     """Fail if some series is too short for the split."""
-    bounds = split_bounds(**split)
-    short = F.lit(False)
-    for start, end in bounds.values():
-        short = short | (end - start <= 0)
-    found = df.groupBy(*keys).agg(F.max(ROWS).alias(ROWS)).where(short).limit(5).collect()
+    found = excluded_series(df, keys, **split).limit(5).collect()
     if found:
         raise ValueError(f"series too short for the split: {[tuple(r) for r in found]}")
 
 
-def walk_forward(df: DataFrame, folds: int = 5, embargo: int = 24, first_train: float = 0.40) -> DataFrame:
+def walk_forward(df: DataFrame, folds: int = 5, embargo: int = 24, first_train: float = 0.40, short: str = "raise") -> DataFrame:
     """Rows of every expanding fold: adds ``fold`` and ``role`` (train or val).
 
-    A row appears once per fold it takes part in.
+    A row appears once per fold it takes part in. A series too short for a fold fails the
+    job; with ``short="exclude"`` it has no rows in that fold.
     """
     if folds < 1:
         raise ValueError("folds must be at least 1")
@@ -78,7 +97,7 @@ def walk_forward(df: DataFrame, folds: int = 5, embargo: int = 24, first_train:
     role = F.when(F.col(ROW) < train_end - embargo, "train").when(
         (F.col(ROW) >= train_end) & (F.col(ROW) < val_end), "val"
     )
-    usable = (size > embargo) & (val_end <= F.col(ROWS)) & (train_end - embargo > 0)
+    usable = _checked((size > embargo) & (val_end <= F.col(ROWS)) & (train_end - embargo > 0), short, "the folds")
     return (
         df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
         .where(usable)

@@ -165,6 +165,14 @@ def ema(spark, d):
     return _show(ewm_means(rows, tb.DAILY, means), 2, *means)
 
 
+@register
+def ema_short(spark, d):
+    """Means too short for one scan block."""
+    rows = materialise(tb.daily_index(spark, d).select("symbol", "ts", ROW, "close"))
+    means = {f"ema_{n}": Ewm.of_span("close", n) for n in (2, 3, 5)}
+    return _show(ewm_means(rows, tb.DAILY, means), 2, *means)
+
+
 @register
 def tabular_rolling(spark, d):
     rows = materialise(_bank(spark, d, 5, lambda b: ta.log_returns(b, (1, 4)), lambda b: [{"y": F.col("close")}]))
@@ -279,8 +287,8 @@ def sentiment_features(spark, d):
     b = Blocked.of(_aligned_index(spark, d), tb.DAILY, back=170)
     rows = b.run(sentiment_stages(b, ["fear_greed"])).home()
     # the mean relative to the level has no ties at the rounding digit
-    rows = rows.withColumn("fear_greed_ma24", F.try_divide(F.col("fear_greed_ma24"), F.col("fear_greed_level")))
-    return _show(rows, 6, *sentiment_names(["fear_greed"]))
+    rows = rows.withColumn("fear_greed_ma24_to_level", F.try_divide(F.col("fear_greed_ma24"), F.col("fear_greed_level")))
+    return _show(rows, 6, "fear_greed_level", "fear_greed_ma24_to_level", "fear_greed_z168")
 
 
 @register
@@ -331,7 +339,10 @@ def _matrix(spark, d):
 def feature_matrix_full(spark, d):
     table = _matrix(spark, d)
     names = feature_names(table.columns, tb.DAILY, FeatureConfig())
+    # shown relative to the level, as in sentiment_features
     table = table.withColumn("fear_greed_ma24", F.try_divide(F.col("fear_greed_ma24"), F.col("fear_greed_level")))
+    table = table.withColumnRenamed("fear_greed_ma24", "fear_greed_ma24_to_level")
+    names = [c.replace("fear_greed_ma24", "fear_greed_ma24_to_level") for c in names]
     table = _round_bank(table)
     other = [c for c in names if c not in ta.TECHNICAL and c not in CALENDAR]
     table = rounded(rounded(table, 6, *other, "y_reg_h24", "y_clf_threshold"), 9, *CALENDAR[:6])
@@ -427,8 +438,8 @@ def target_stats(spark, d):
 @register
 def describe_bars(spark, d):
     out = pf.describe(tb.stored_hourly(spark, d), ["open", "high", "low", "close"])
-    out = out.withColumn("mean", F.ln("mean"))  # the mean of cents has ties at any rounding digit
-    return rounded(out, 6, "mean", "std", "q25", "q50", "q75")
+    out = out.withColumn("mean", F.ln("mean")).withColumnRenamed("mean", "log_mean")  # the mean of cents has ties at any rounding digit
+    return rounded(out, 6, "log_mean", "std", "q25", "q50", "q75")
 
 
 @register
@@ -598,7 +609,8 @@ def downsample(spark, d):
 def random_sample(spark, d):
     """200 bars in the order of a seeded hash of their key."""
     bars = tb.daily_bars(spark, d)
-    return bars.orderBy(F.xxhash64("symbol", "ts", F.lit(42)), "symbol", "ts").limit(200)
+    key = F.concat_ws("|", "symbol", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit("42"))
+    return bars.orderBy(F.md5(key.cast("binary")), "symbol", "ts").limit(200)
 
 
 # --- baselines --------------------------------------------------------------------------------
@@ -606,8 +618,8 @@ def random_sample(spark, d):
 
 @register
 def naive_zero(spark, d):
-    rows = sp.chronological_split(_targets(spark, d)).where("split = 'test'")
-    rows = rows.select("symbol", "ts", F.col("y_reg_h24").alias("y_true"), bl.zero_forecast().alias("y_pred"))
+    rows = sp.chronological_split(_targets(spark, d)).where("split IS NOT NULL")
+    rows = rows.select("symbol", "ts", "split", F.col("y_reg_h24").alias("y_true"), bl.zero_forecast().alias("y_pred"))
     return rounded(rows, 9, "y_true")
 
 
@@ -620,8 +632,8 @@ def majority_class(spark, d):
 def majority_pred(spark, d):
     rows = materialise(sp.chronological_split(_targets(spark, d)))
     major = bl.majority_class(rows.where("split = 'train'"), "y_clf_h24")
-    out = rows.where("split = 'test'").join(major, "symbol").withColumns(bl.majority_columns())
-    return out.select("symbol", "ts", F.col("y_clf_h24").alias("y_true"), "y_pred", "p_neg", "p_neu", "p_pos")
+    out = rows.where("split IS NOT NULL").join(major, "symbol").withColumns(bl.majority_columns())
+    return out.select("symbol", "ts", "split", F.col("y_clf_h24").alias("y_true"), "y_pred", "p_neg", "p_neu", "p_pos")
 
 
 def _ar_rows(spark, d):

@@ -220,6 +220,15 @@ ORACLES["ema"] = chain(
         FROM idx i JOIN e ON i.symbol = e.symbol AND i.rn = e.rn""",
     recursive=True,
 )
+ORACLES["ema_short"] = chain(
+    DAILY,
+    INDEXED,
+    scan("e", "idx", {"ema_2": ("close", 2 / 3), "ema_3": ("close", 2 / 4), "ema_5": ("close", 2 / 6)}),
+    f"""SELECT i.symbol, i.ts, {rnd('ema_2', 2)}, {rnd('ema_3', 2)}, {rnd('ema_5', 2)}
+        FROM idx i JOIN e ON i.symbol = e.symbol AND i.rn = e.rn""",
+    recursive=True,
+)
+ORACLES["random_sample"] = chain(DAILY, "SELECT * FROM daily ORDER BY md5(symbol || '|' || epoch(ts)::BIGINT || '|42'), symbol, ts LIMIT 200")
 _AGGS = (("mean", mean), ("std", std), ("min", low), ("max", high))
 ORACLES["tabular_rolling"] = chain(
     DAILY,
@@ -392,7 +401,7 @@ ORACLES["macro_features"] = chain(
 )
 _SENT = (
     f"{rnd(lag('fear_greed_level'), 6, 'fear_greed_level')}, "
-    f"{rnd(div(lag('fear_greed_ma24'), lag('fear_greed_level')), 6, 'fear_greed_ma24')}, "
+    f"{rnd(div(lag('fear_greed_ma24'), lag('fear_greed_level')), 6, 'fear_greed_ma24_to_level')}, "
     f"{rnd(lag('fear_greed_z168'), 6, 'fear_greed_z168')}"
 )
 ORACLES["sentiment_features"] = chain(
@@ -443,7 +452,7 @@ ORACLES["feature_matrix_full"] = chain(
     "lagged AS (SELECT symbol, ts, " + ", ".join(rnd(lag(c), 6, c) for c in MACRO) + f", {_SENT} FROM n)",
     f"tech AS (SELECT symbol, ts, rn, open, high, low, close, volume, {', '.join(LAGGED)} FROM bank)",
     f"""SELECT t.symbol, t.ts, t.open, t.high, t.low, t.close, t.volume, {', '.join('t.' + c for c in TECHNICAL)},
-       {', '.join('l.' + c for c in (*MACRO, *SENTIMENT))}, {CALENDAR.replace('ts', 't.ts')},
+       {', '.join('l.' + c for c in (*MACRO, 'fear_greed_level', 'fear_greed_ma24_to_level', 'fear_greed_z168'))}, {CALENDAR.replace('ts', 't.ts')},
        {rnd('g.y_reg', 6, 'y_reg_h24')}, g.y_clf AS y_clf_h24, {rnd('g.thr', 6, 'y_clf_threshold')}
      FROM tech t JOIN lagged l ON t.symbol = l.symbol AND t.ts = l.ts JOIN tg g ON t.symbol = g.symbol AND t.ts = g.ts
      WHERE t.rn >= 200""",
@@ -569,7 +578,7 @@ ORACLES["target_stats"] = chain(
 ORACLES["describe_bars"] = chain(
     HOURLY,
     "u AS (" + " UNION ALL ".join(f"SELECT symbol, '{c}' AS \"column\", {c} AS v FROM hourly" for c in ("open", "high", "low", "close")) + ")",
-    f"""SELECT symbol, "column", count(v)::BIGINT AS n, {rnd('ln(avg(v))', 6, 'mean')}, {rnd('stddev_samp(v)', 6, 'std')},
+    f"""SELECT symbol, "column", count(v)::BIGINT AS n, {rnd('ln(avg(v))', 6, 'log_mean')}, {rnd('stddev_samp(v)', 6, 'std')},
        min(v) AS min, max(v) AS max, {rnd('quantile_cont(v, 0.25)', 6, 'q25')}, {rnd('quantile_cont(v, 0.5)', 6, 'q50')},
        {rnd('quantile_cont(v, 0.75)', 6, 'q75')} FROM u GROUP BY 1, 2""",
 )
@@ -758,7 +767,7 @@ ORACLES["label_recode"] = chain(
 
 SPLIT_TARGETS = [*TARGETS, splits("tg")]
 ORACLES["naive_zero"] = chain(
-    *SPLIT_TARGETS, f"SELECT symbol, ts, {rnd('y_reg', 9, 'y_true')}, 0.0::DOUBLE AS y_pred FROM spl WHERE split = 'test'"
+    *SPLIT_TARGETS, f"SELECT symbol, ts, split, {rnd('y_reg', 9, 'y_true')}, 0.0::DOUBLE AS y_pred FROM spl WHERE split IS NOT NULL"
 )
 MAJOR = """maj AS (SELECT symbol, first(y_clf ORDER BY n DESC, y_clf) AS majority FROM
     (SELECT symbol, y_clf, count(*) AS n FROM spl WHERE split = 'train' AND y_clf IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"""
@@ -766,9 +775,9 @@ ORACLES["majority_class"] = chain(*SPLIT_TARGETS, MAJOR, "SELECT symbol, majorit
 ORACLES["majority_pred"] = chain(
     *SPLIT_TARGETS,
     MAJOR,
-    """SELECT spl.symbol, ts, y_clf AS y_true, majority AS y_pred, (majority = -1)::INTEGER::DOUBLE AS p_neg,
+    """SELECT spl.symbol, ts, split, y_clf AS y_true, majority AS y_pred, (majority = -1)::INTEGER::DOUBLE AS p_neg,
        (majority = 0)::INTEGER::DOUBLE AS p_neu, (majority = 1)::INTEGER::DOUBLE AS p_pos
-     FROM spl JOIN maj ON spl.symbol = maj.symbol WHERE split = 'test'""",
+     FROM spl JOIN maj ON spl.symbol = maj.symbol WHERE split IS NOT NULL""",
 )
 _TERMS = ["1.0::DOUBLE", *[f"r_{k}" for k in range(6)]]
 ORACLES["ar_moments"] = chain(

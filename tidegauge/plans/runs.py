@@ -18,7 +18,7 @@ from tidegauge.operators.asof import align_sources
 from tidegauge.operators.blocks import ROW, ROWS, SeriesSpec
 from tidegauge.operators.scaling import apply_scaler, fit_scaler
 from tidegauge.operators.sequences import sequence_windows
-from tidegauge.operators.splits import ORDER, chronological_split, summarise_rows, walk_forward
+from tidegauge.operators.splits import ORDER, chronological_split, excluded_series, summarise_rows, walk_forward
 from tidegauge.operators.validate import issue_summary, raise_if_errors, validation_report
 from tidegauge.plans.features import FeatureConfig, feature_matrix, feature_names
 from tidegauge.session import materialise
@@ -35,6 +35,8 @@ class BuildConfig:
     test: float = 0.15
     embargo: int = 24
     folds: int = 5
+    #: what to do with series too short for the split: ``raise`` or ``exclude``
+    short: str = "raise"
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -106,7 +108,10 @@ def run_splits(spark: SparkSession, config: BuildConfig) -> DataFrame:
     table = spark.read.parquet(config.path("features"))
     names = feature_names(table.columns, spec, config.features)
     y_reg, y_clf, _ = config.features.targets
-    rows = chronological_split(table, config.train, config.val, config.test, config.embargo)
+    parts = {"train": config.train, "val": config.val, "test": config.test, "embargo": config.embargo}
+    rows = chronological_split(table, **parts, short=config.short)
+    if config.short == "exclude":
+        write_table(excluded_series(table, spec.keys, **parts), config.path("excluded_series"))
     scaler = spark.read.parquet(
         write_scaler(fit_scaler(rows.where("split = 'train'"), names, spec.keys), config.path("scaler"))
     )
@@ -117,7 +122,7 @@ def run_splits(spark: SparkSession, config: BuildConfig) -> DataFrame:
     filled = filled.select(*head, ROW, ROWS, *names, y_reg, y_clf)
     windows = sequence_windows(filled, spec, names, ["split", y_reg, y_clf], y_reg, lookback)
     write_sequences(windows.where(F.col("split").isin(*ORDER)), config.path("sequences"))
-    folds = walk_forward(table, config.folds, config.embargo)
+    folds = walk_forward(table, config.folds, config.embargo, short=config.short)
     write_summary(summarise_rows(folds, [*spec.keys, "fold", "role"], spec.ts), config.path("fold_summary"))
     summary = summarise_rows(rows.where(F.col("split").isNotNull()), [*spec.keys, "split"], spec.ts)
     write_summary(summary, config.path("split_summary"))

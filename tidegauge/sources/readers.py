@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOG = logging.getLogger(__name__)
+
 # fixed values: header of a raw bar file
 BAR_HEADER = ("Datetime", "Open", "High", "Low", "Close", "Volume")
 # fixed values: accepted headers of a sentiment file, lower case
@@ -23,7 +26,7 @@ def read_bars_csv(spark: SparkSession, path: str | list[str], symbol: str, zone:
 
     Times without an offset are taken in ``zone``; times with one keep their instant.
     """
-    found = spark.read.option("header", True).csv(path)
+    found = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     missing = [c for c in BAR_HEADER if c not in found.columns]
     if missing:
         raise ValueError(f"bar file lacks columns {missing}")
@@ -83,12 +86,15 @@ def read_sentiment_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_available(spark: SparkSession, attempts: Sequence[tuple[Callable[[SparkSession, str], DataFrame], str]]) -> DataFrame:
-    """The first source that can be opened; an empty external frame if none can."""
+    """The first source that can be opened; an empty external frame if none can.
+
+    Every failed attempt is logged as a warning with its path and reason.
+    """
     for read, path in attempts:
         try:
             return read(spark, path)
-        except (AnalysisException, ValueError):
-            continue
+        except (AnalysisException, ValueError) as reason:
+            _LOG.warning("%s could not be read: %s", path, reason)
     return spark.createDataFrame([], EXTERNAL_SCHEMA)
 
 
@@ -111,7 +117,8 @@ def stamp_release(external: DataFrame, frequency: Mapping[str, str], lags: Mappi
         raise ValueError(f"unknown frequencies {unknown}")
     days = {s: lags.get(s, RELEASE_LAGS[f]) for s, f in frequency.items()}
     lookup = F.create_map(*[F.lit(v) for pair in days.items() for v in pair])
-    # an unlisted source has no known delay; NULL keeps it out of every alignment
-    lag = F.element_at(lookup, F.col("source"))
+    # a source without a known delay can not be aligned; it fails the job
+    unlisted = F.raise_error(F.concat(F.lit("no release lag is known for source "), F.coalesce("source", F.lit("NULL"))))
+    lag = F.coalesce(F.element_at(lookup, F.col("source")) if days else F.lit(None).cast("int"), unlisted.cast("int"))
     stamp = F.col("value_date") + F.make_dt_interval(lag)
     return external.select("source", "value_date", stamp.alias("release_date"), "value")
