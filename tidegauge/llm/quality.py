@@ -80,7 +80,7 @@ class QualityModel:
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-4) -> QualityModel:
     """Full-batch Adam on the non-negative risk; deterministic."""
     both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0)
+    mean, scale = both.mean(0, dtype=np.float64), both.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-6, scale, np.inf)
     p, u = (((x - mean) / scale).clip(-8, 8) for x in (positive, unlabelled))
     w, bias = np.zeros(both.shape[1]), 0.0
@@ -108,7 +108,7 @@ def _rows(column: pa.Array):
         yield lo, hi, features(part - part[0], data[part[0] : part[-1]])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, train: object, sample: int = 12_000) -> QualityModel | None:
+def train_quality(docs: DataFrame, labels: DataFrame, train: object, sample: int = 6_000) -> QualityModel | None:
     """Fit on documents for which the column expression ``train`` (over ``doc_id``) holds.
 
     Label 1 of ``labels(doc_id, quality)`` marks positives; documents without a label are the
@@ -136,7 +136,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: object, sample: int
 
     got = map_batches(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), emit, "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r.doc_id)
-    held, x = np.array([r.doc_id for r in got]), np.array([np.frombuffer(r.x, dtype=np.float32) for r in got], dtype=np.float64)
+    held, x = np.array([r.doc_id for r in got]), np.array([np.frombuffer(r.x, dtype=np.float32) for r in got])
     return fit_nnpu(x[np.isin(held, chosen["p"])], x[np.isin(held, chosen["u"])], min(float(stats), 0.999))
 
 

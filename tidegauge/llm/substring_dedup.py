@@ -125,9 +125,9 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     if window < 2 * MARGIN + 2 * LONGEST - 1:
         raise ValueError(f"windows need {2 * MARGIN + 2 * LONGEST - 1} words at least")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    # dealt by name once, for the count and for the join alike
+    # dealt by name once: both sides read all columns, so that Spark reuses the exchange
     symbols = _symbols(docs, window).repartition("name")
-    several = symbols.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    several = symbols.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("pos").alias("last")).where("lo < hi and last >= -1")
     shared = symbols.join(several, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
 
     def emit(batch: pa.RecordBatch):
@@ -141,7 +141,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
             yield {"name": combine(words.name, window)[at], "doc_id": ids[lo + of], "pos": at - words.bounds[of]}
 
     windows = map_batches(docs.join(shared, "doc_id"), emit, "name long, doc_id long, pos int").repartition("name")
-    first = windows.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name", "lo")
+    first = windows.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("pos").alias("last")).where("lo < hi and last >= 0").select("name", "lo")
     return windows.join(first, "name").where("doc_id > lo").select("doc_id", "pos")
 
 
