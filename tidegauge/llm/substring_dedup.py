@@ -17,7 +17,7 @@ a document with a smaller id; windows are judged on the input.
    that has the name decides.
 
 Every step moves rows in proportion to the words; a passage that a third of the documents
-share costs a row per occurrence and its smallest document is a map-side-combined minimum.
+share costs a row per occurrence, and sorted rows stream by, so that no group is held.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.text import Words, combine, int_column, map_batches, mix64, sliced_words
-from tidegauge.session import ship_package
+from tidegauge.llm.text import Words, combine, hash_bits, int_column, map_batches, mix64, sliced_words, where_marked
+from tidegauge.session import materialise, ship_package
 
 ROUNDS, RUN = 3, 4
 LONGEST = 2**ROUNDS
@@ -125,10 +125,8 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     if window < 2 * MARGIN + 2 * LONGEST - 1:
         raise ValueError(f"windows need {2 * MARGIN + 2 * LONGEST - 1} words at least")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    # dealt by name once: both sides read all columns, so that Spark reuses the exchange
-    symbols = _symbols(docs, window).repartition("name")
-    several = symbols.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("pos").alias("last")).where("lo < hi and last >= -1")
-    shared = symbols.join(several, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
+    symbols = _symbols(docs, window).repartition("name").sortWithinPartitions("name", "doc_id")
+    shared = symbols.mapInArrow(_of_several, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
 
     def emit(batch: pa.RecordBatch):
         ids = int_column(batch, "doc_id")
@@ -140,9 +138,65 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
             of = np.searchsorted(words.bounds, at, side="right") - 1
             yield {"name": combine(words.name, window)[at], "doc_id": ids[lo + of], "pos": at - words.bounds[of]}
 
-    windows = map_batches(docs.join(shared, "doc_id"), emit, "name long, doc_id long, pos int").repartition("name")
-    first = windows.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("pos").alias("last")).where("lo < hi and last >= 0").select("name", "lo")
-    return windows.join(first, "name").where("doc_id > lo").select("doc_id", "pos")
+    windows = map_batches(docs.join(shared, "doc_id"), emit, "name long, doc_id long, pos int")
+    ordered = windows.repartition("name").sortWithinPartitions("name", "doc_id")
+    return ordered.mapInArrow(_after_first, "doc_id long, pos int")
+
+
+def _runs(batch: pa.RecordBatch, before: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of a sorted batch, after ``before``, and where the runs of equal names begin."""
+    columns = [batch.column(c).to_numpy() for c in ("name", "doc_id", "pos")]
+    if before is not None:
+        columns = [np.concatenate(pair) for pair in zip(before, columns)]
+    name = columns[0]
+    return (*columns, np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, dtype=np.int64))
+
+
+def _places(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int32())})
+
+
+def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose name occurs in several documents, from rows sorted by name and document."""
+    held, open_name = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name, doc, pos, starts = _runs(batch, held)
+        size = np.diff(np.append(starts, len(name)))
+        several = np.logical_or.reduceat(doc != np.repeat(doc[starts], size), starts)
+        several[0] |= name[0] == open_name
+        keep = np.repeat(several, size)
+        # the last run may go on; until a second document comes, its rows wait
+        last = starts[-1]
+        held, open_name = (None, name[-1]) if several[-1] else ([x[last:] for x in (name, doc, pos)], None)
+        yield _places(doc[keep], pos[keep])
+
+
+def _after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a name after those of its first document, from rows sorted by name and document."""
+    carried = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name, doc, pos, starts = _runs(batch)
+        first = doc[starts]
+        if carried is not None and carried[0] == name[0]:
+            first[0] = carried[1]
+        carried = (name[-1], first[-1])
+        later = doc != np.repeat(first, np.diff(np.append(starts, len(name))))
+        yield _places(doc[later], pos[later])
+
+
+def _with_gone(docs: DataFrame, window: int, filter_bits: int = 24) -> DataFrame:
+    """``docs`` and the starts of their repeated windows as ``gone``.
+
+    A bit map of fixed size tells which documents may have any; only those are shuffled.
+    """
+    gone = materialise(repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))
+    bits = hash_bits(gone.select("doc_id"), filter_bits)
+    marked = where_marked(docs, "doc_id", bits, True).join(gone, "doc_id", "left").select(*docs.columns, "gone")
+    return marked.unionAll(where_marked(docs, "doc_id", bits, False).withColumn("gone", F.lit(None).cast("array<int>")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -153,8 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     are not looked at; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    gone = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    return _cut(docs.join(gone, "doc_id", "left"), window, "kept")
+    return _cut(_with_gone(docs, window), window, "kept")
 
 
 def _kept_texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
@@ -190,8 +243,7 @@ def _cut(joined: DataFrame, window: int, result: str) -> DataFrame:
 def removal_digests(docs: DataFrame, window: int = 50) -> DataFrame:
     """As ``remove_repeats``, with ``kept_sha256`` in place of the kept text."""
     docs = docs.select("doc_id", "text")
-    gone = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    return _cut(docs.join(gone, "doc_id", "left"), window, "kept_sha256")
+    return _cut(_with_gone(docs, window), window, "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -199,7 +251,6 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Texts from which nothing goes stay as they are, whitespace included.
     """
-    gone = repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +266,4 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     ship_package(docs.sparkSession)
-    return docs.join(gone, "doc_id", "left").select(*schema.names, "gone").mapInArrow(run, schema)
+    return _with_gone(docs, window).mapInArrow(run, schema)

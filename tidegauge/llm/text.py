@@ -203,3 +203,40 @@ def crc_fold(column: str, modulus: int):
     from pyspark.sql import functions as F
 
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def _bit_places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    at = mix64(ids.astype(np.int64).view(np.uint64)) >> _U(64 - bits)
+    return (at >> _U(3)).view(np.int64), (_U(1) << (at & _U(7))).astype(np.uint8)
+
+
+def hash_bits(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit map of ``2**bits`` bits with the hash places of a one-column table of integers set."""
+    ship_package(ids.sparkSession)
+    column, size = ids.columns[0], (1 << bits) // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, dtype=np.uint8)
+        for batch in batches:
+            np.bitwise_or.at(seen, *_bit_places(int_column(batch, column), bits))
+        yield pa.RecordBatch.from_pydict({"data": pa.array([pack(seen)], pa.binary())})
+
+    out = np.zeros(size, dtype=np.uint8)
+    for row in ids.coalesce(32).mapInArrow(mark, "data binary").toLocalIterator():
+        out |= unpack(row.data, size, np.uint8)
+    return out
+
+
+def where_marked(df: DataFrame, column: str, bits: np.ndarray, marked: bool) -> DataFrame:
+    """The rows whose value has its bit set (or not set); a null has none."""
+    shared, width = df.sparkSession.sparkContext.broadcast(bits), int(len(bits) * 8).bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(column)
+            at, bit = _bit_places(pc.fill_null(values.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), width)
+            hit = (shared.value[at] & bit != 0) & values.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit == marked))
+
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
