@@ -47,7 +47,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     """One folder per shard with its records in order of id; the end of a record is the separator."""
     lines = records.select("shard", "page_id", F.regexp_replace("record", f"{_END}$", "").alias("value"))
     ordered = lines.repartition("shard").sortWithinPartitions("shard", "page_id", "value").drop("page_id")
-    ordered.write.partitionBy("shard").option("lineSep", _END).mode("overwrite").text(path)
+    ordered.write.partitionBy("shard").option("lineSep", _END).option("compression", "gzip").mode("overwrite").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
