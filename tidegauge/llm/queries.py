@@ -51,11 +51,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of all pages as WARC files, one with every 89th record damaged, audited by Merkle trees."""
     records = warc_records(_table(spark, sf_dir, "pages"))
-    damaged = records.withColumn("record", F.when(F.pmod("page_id", F.lit(89)) == 7, F.regexp_replace("record", "text/html", "text/htmX")).otherwise(F.col("record")))
+    damaged = F.when(F.pmod("page_id", F.lit(89)) == 7, F.regexp_replace("record", "text/html", "text/htmX")).otherwise(F.col("record"))
     folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    write_warc(records, f"{folder}/a")
-    write_warc(damaged, f"{folder}/b")
-    return audit_replica(read_warc(spark, f"{folder}/a"), read_warc(spark, f"{folder}/b"))
+    write_warc(records, folder, {"a": F.col("record"), "b": damaged})
+    return audit_replica(read_warc(spark, f"{folder}/replica=a"), read_warc(spark, f"{folder}/replica=b"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

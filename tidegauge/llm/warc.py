@@ -8,7 +8,7 @@ branches only, level by level: a sound shard costs one row, a damaged record one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import materialise
@@ -43,11 +43,21 @@ def warc_records(pages: DataFrame, per_shard: int = 4096) -> DataFrame:
     return pages.select(shard.alias("shard"), "page_id", record.alias("record"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """One folder per shard with its records in order of id; the end of a record is the separator."""
-    lines = records.select("shard", "page_id", F.regexp_replace("record", f"{_END}$", "").alias("value"))
-    ordered = lines.repartition("shard").sortWithinPartitions("shard", "page_id", "value").drop("page_id")
-    ordered.write.partitionBy("shard").option("lineSep", _END).option("compression", "gzip").mode("overwrite").text(path)
+def write_warc(records: DataFrame, path: str, replicas: dict[str, Column] | None = None) -> None:
+    """One folder per shard with its records in order of id; the end of a record is the separator.
+
+    ``replicas`` names versions of ``record``; each has a folder ``replica=<name>`` of its own,
+    and one shuffle deals them all.
+    """
+    dealt = records.select("shard", "page_id", "record").repartition("shard")
+    by = ["shard"]
+    if replicas:
+        by = ["replica", "shard"]
+        versions = F.array(*(F.struct(F.lit(name).alias("replica"), record.alias("record")) for name, record in replicas.items()))
+        dealt = dealt.select("shard", "page_id", F.inline(versions))
+    lines = dealt.withColumn("record", F.regexp_replace("record", f"{_END}$", ""))
+    ordered = lines.sortWithinPartitions(*by, "page_id", "record").drop("page_id")
+    ordered.write.partitionBy(*by).option("lineSep", _END).option("compression", "gzip").mode("overwrite").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +82,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """``(shard, idx, page_id, offset, length, sha256)``: records by place in their shard."""
-    hashed = records.select("shard", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"))
-    order = Window.partitionBy("shard").orderBy("page_id", "sha256")
+def leaves(records: DataFrame, *by: str) -> DataFrame:
+    """``(by, shard, idx, page_id, offset, length, sha256)``: records by place in their shard."""
+    hashed = records.select(*by, "shard", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"))
+    order = Window.partitionBy(*by, "shard").orderBy("page_id", "sha256")
     return hashed.select(
+        *by,
         "shard",
         (F.row_number().over(order) - 1).cast("long").alias("idx"),
         "page_id",
@@ -86,31 +97,29 @@ def leaves(records: DataFrame) -> DataFrame:
     )
 
 
-def merkle_levels(leaf: DataFrame, per_shard: int = 4096) -> list[DataFrame]:
-    """Node tables ``(shard, idx, sha256)`` from the leaves to one root per shard."""
-    nodes = leaf.select("shard", "idx", F.sha2(F.concat_ws(":", "offset", "length", "sha256"), 256).alias("sha256"))
+def merkle_levels(leaf: DataFrame, *by: str, per_shard: int = 4096) -> list[DataFrame]:
+    """Stored node tables ``(by, shard, idx, sha256)`` from the leaves to one root per shard."""
+    nodes = leaf.select(*by, "shard", "idx", F.sha2(F.concat_ws(":", "offset", "length", "sha256"), 256).alias("sha256"))
     levels, reach = [nodes], 1
     while reach < per_shard * FANOUT:
-        above = nodes.groupBy("shard", F.floor(F.col("idx") / FANOUT).alias("idx")).agg(
-            F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("idx", "sha256"))), lambda x: F.concat_ws(":", x["idx"].cast("string"), x["sha256"]))), 256).alias("sha256")
-        )
-        nodes = above
+        named = F.transform(F.array_sort(F.collect_list(F.struct("idx", "sha256"))), lambda x: F.concat_ws(":", x["idx"].cast("string"), x["sha256"]))
+        parent = F.floor(F.col("idx") / FANOUT).alias("idx")
+        nodes = materialise(nodes.groupBy(*by, "shard", parent).agg(F.sha2(F.concat_ws(",", named), 256).alias("sha256")))
         levels.append(nodes)
         reach *= FANOUT
     return levels
 
 
-def audit(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """``(shard, idx)`` of the leaves that differ, or that one replica lacks."""
+def audit(levels: list[DataFrame]) -> DataFrame:
+    """``(shard, idx)`` of the leaves that differ between the two replicas, or that one lacks."""
     suspects = None
-    for a, b in zip(reversed(ours), reversed(theirs)):
+    for nodes in reversed(levels):
         if suspects is not None:
-            branch = lambda x: x.withColumn("_up", F.floor(F.col("idx") / FANOUT)).join(suspects, [F.col("shard") == F.col("_s"), F.col("_up") == F.col("_i")], "left_semi").drop("_up")
-            a, b = branch(a), branch(b)
-        b = b.select(F.col("shard").alias("_s"), F.col("idx").alias("_i"), F.col("sha256").alias("_h"))
-        differ = a.join(b, (F.col("shard") == F.col("_s")) & (F.col("idx") == F.col("_i")), "full").where(~F.col("sha256").eqNullSafe(F.col("_h")))
-        suspects = differ.select(F.coalesce("shard", "_s").alias("_s"), F.coalesce("idx", "_i").alias("_i"))
-    return suspects.select(F.col("_s").alias("shard"), F.col("_i").alias("idx"))
+            parent = (F.col("shard") == F.col("_shard")) & (F.floor(F.col("idx") / FANOUT) == F.col("_idx"))
+            nodes = nodes.join(suspects.select(F.col("shard").alias("_shard"), F.col("idx").alias("_idx")), parent, "left_semi")
+        seen = nodes.groupBy("shard", "idx").agg(F.count("*").alias("n"), F.min("sha256").alias("low"), F.max("sha256").alias("high"))
+        suspects = seen.where("n < 2 or low <> high").select("shard", "idx")
+    return suspects
 
 
 def audit_replica(ours: DataFrame, theirs: DataFrame, per_shard: int = 4096) -> DataFrame:
@@ -120,6 +129,9 @@ def audit_replica(ours: DataFrame, theirs: DataFrame, per_shard: int = 4096) ->
     only the other replica has are not listed. Fully equal records of one id may stand for
     each other. Empty replicas give an empty result.
     """
-    a, b = materialise(leaves(ours)), materialise(leaves(theirs))
-    bad = audit(merkle_levels(a, per_shard), merkle_levels(b, per_shard)).withColumn("damaged", F.lit(True))
-    return a.join(bad, ["shard", "idx"], "left").select("page_id", "shard", "offset", "length", "sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    columns = ["shard", "page_id", "record"]
+    both = ours.select(F.lit(True).alias("ours"), *columns).unionByName(theirs.select(F.lit(False).alias("ours"), *columns))
+    leaf = materialise(leaves(both, "ours"))
+    bad = audit(merkle_levels(leaf, "ours", per_shard=per_shard)).withColumn("damaged", F.lit(True))
+    rows = leaf.where("ours").join(bad, ["shard", "idx"], "left")
+    return rows.select("page_id", "shard", "offset", "length", "sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
