@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.blocks import Blocked, SeriesSpec, Stages
-
-# the solve below travels with its helpers, so executors need no installed copy of the package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tidegauge.session import ship_package
 
 # fixed values: candidate orders
 ORDERS = (1, 2, 3, 5)
@@ -63,53 +59,61 @@ def ar_moments(rows: DataFrame, keys: Sequence[str], lags: int = max(ORDERS)) ->
     return known.groupBy(*keys).agg(*sums)
 
 
-def cumulative_weights(phi: Sequence[float], intercept: float, horizon: int) -> tuple[float, np.ndarray]:
-    """``(a, b)`` with sum of the next ``horizon`` forecasts = ``a + b . (r_t, r_{t-1}, ..)``.
+def _weights(phi: np.ndarray, intercept: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """``cumulative_weights`` of every row of ``phi``.
 
     Each forecast is affine in the state, so the sum is too: iterate the companion map once.
     """
-    p = len(phi)
-    state = np.hstack([np.zeros((p, 1)), np.eye(p)])  # rows: r_t, r_{t-1}, ..; column 0: constant
-    total = np.zeros(p + 1)
+    p = phi.shape[1]
+    state = np.tile(np.eye(p, p + 1, 1), (len(phi), 1, 1))  # rows: r_t, r_{t-1}, ..; column 0: constant
+    total = np.zeros((len(phi), p + 1))
     for _ in range(horizon):
-        ahead = np.asarray(phi) @ state
-        ahead[0] += intercept
+        ahead = np.einsum("si,sij->sj", phi, state)
+        ahead[:, 0] += intercept
         total += ahead
-        state = np.vstack([ahead, state[:-1]])
-    return float(total[0]), total[1:]
-
-
-def solve_ar(moments: pd.Series, orders: Sequence[int], lags: int) -> tuple[int, np.ndarray, float, float]:
-    """Least-squares fit of every order on the common sample; the lowest AIC wins."""
-    size = lags + 2
-    gram = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i, size):
-            gram[i, j] = gram[j, i] = moments[f"s_{i}_{j}"]
-    n, best = gram[0, 0], None
-    for p in orders:
-        use = [0, *range(2, 2 + p)]
-        beta, *_ = np.linalg.lstsq(gram[np.ix_(use, use)], gram[use, 1], rcond=None)
-        rss = gram[1, 1] - beta @ gram[use, 1]
-        aic = n * math.log(max(rss, 1e-300) / n) + 2 * (p + 2)
-        if best is None or aic < best[3]:
-            best = (p, beta[1:], float(beta[0]), float(aic))
-    return best
+        state = np.concatenate([ahead[:, None], state[:, :-1]], axis=1)
+    return total[:, 0], total[:, 1:]
+
+
+def cumulative_weights(phi: Sequence[float], intercept: float, horizon: int) -> tuple[float, np.ndarray]:
+    """``(a, b)`` with sum of the next ``horizon`` forecasts = ``a + b . (r_t, r_{t-1}, ..)``."""
+    a, b = _weights(np.asarray([phi], dtype=float), np.asarray([intercept]), horizon)
+    return float(a[0]), b[0]
+
+
+def _candidate(gram: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(aic, beta)`` of order ``p`` by least squares, for a batch of Gram matrices."""
+    use = [0, *range(2, 2 + p)]
+    n, right = gram[:, 0, 0], gram[:, use, 1]
+    beta = np.einsum("sij,sj->si", np.linalg.pinv(gram[:, use][:, :, use], hermitian=True), right)
+    rss = gram[:, 1, 1] - (beta * right).sum(1)
+    return n * np.log(np.maximum(rss, 1e-300) / n) + 2 * (p + 2), beta
 
 
 def fit_ar(moments: DataFrame, keys: Sequence[str], horizon: int = 24, orders: Sequence[int] = ORDERS) -> DataFrame:
-    """``(keys, p, intercept, phi, aic, a, b)``: one small solve per row of moments."""
+    """``(keys, p, intercept, phi, aic, a, b)``: small solves, a batch of moment rows at a time.
+
+    All orders are fitted on the common sample; the lowest AIC wins, the smaller order on ties.
+    """
     lags, names = max(orders), list(keys)
+    ranked, size = sorted(orders), lags + 2
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for _, row in batch.iterrows():
-                p, phi, c, aic = solve_ar(row, orders, lags)
-                a, b = cumulative_weights(phi, c, horizon)
-                out.append([*(row[k] for k in names), p, c, phi.tolist(), aic, a, b.tolist()])
-            yield pd.DataFrame(out, columns=[*names, "p", "intercept", "phi", "aic", "a", "b"])
-
+            gram = np.zeros((len(batch), size, size))
+            for i in range(size):
+                for j in range(i, size):
+                    gram[:, i, j] = gram[:, j, i] = batch[f"s_{i}_{j}"]
+            aic, beta = np.zeros((len(ranked), len(batch))), np.zeros((len(ranked), len(batch), lags + 1))
+            for k, p in enumerate(ranked):
+                aic[k], beta[k, :, : p + 1] = _candidate(gram, p)
+            best, rows = aic.argmin(0), np.arange(len(batch))
+            p, chosen = np.asarray(ranked)[best], beta[best, rows]
+            a, b = _weights(chosen[:, 1:], chosen[:, 0], horizon)
+            cut = lambda x: [row[:n].tolist() for row, n in zip(x, p)]
+            yield batch[names].assign(p=p, intercept=chosen[:, 0], phi=cut(chosen[:, 1:]), aic=aic[best, rows], a=a, b=cut(b))
+
+    ship_package(moments.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in moments.schema}
     head = ", ".join(f"`{k}` {types[k]}" for k in names)
     return moments.mapInPandas(

@@ -93,7 +93,7 @@ def source_coverage(spark, d):
 
 @register
 def asof_align(spark, d):
-    return align_grid(tb.stored_daily(spark, d).select("ts"), tb.external(spark, d), ["order_flow"], tb.DAILY)
+    return align_grid(materialise(tb.daily_bars(spark, d).select("ts")), tb.external(spark, d), tb.SOURCES, tb.DAILY)
 
 
 @register
@@ -538,17 +538,20 @@ def tabular_split(spark, d):
 
 def _windows(spark, d):
     rows = materialise(_scaled(spark, d, fill=0.0))
-    return sq.sequence_windows(rows, tb.DAILY, LIGHT[:3], ["split", "y_reg_h24", "y_clf_h24"], "y_reg_h24", 168)
+    return sq.sequence_windows(rows, tb.DAILY, LIGHT, ["split", "y_reg_h24", "y_clf_h24"], "y_reg_h24", 168)
 
 
 def _digest(windows: DataFrame) -> DataFrame:
-    """What a window holds, without its 168 rows."""
+    """Sums over a whole window, plain and weighted by step and feature, in place of its 168 rows."""
     flat = F.flatten("x")
+    add = lambda s, v: s + v
+    row = lambda x: F.aggregate(F.transform(x, lambda v, k: v.cast("double") * (k + 1)), F.lit(0.0), add)
     return windows.select(
         "symbol",
         "ts",
         F.size("x").alias("steps"),
         F.round(F.aggregate(flat, F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"),
+        F.round(F.aggregate(F.transform("x", lambda x, i: row(x) * (i + 1)), F.lit(0.0), add), 1).alias("weighted"),
         F.col("x")[0][0].cast("double").alias("oldest"),
         F.element_at(F.element_at("x", -1), -1).cast("double").alias("newest"),
         "split",
@@ -558,7 +561,7 @@ def _digest(windows: DataFrame) -> DataFrame:
 
 @register
 def sequences(spark, d):
-    return rounded(_digest(_windows(spark, d)).drop("split"), 3, "total", "oldest", "newest")
+    return rounded(rounded(_digest(_windows(spark, d)).drop("split"), 3, "total", "oldest", "newest"), 1, "weighted")
 
 
 @register

@@ -6,7 +6,6 @@ of an independent check.
 
 from __future__ import annotations
 
-from tidegauge.models.baselines import cumulative_weights
 from tidegauge.plans.testbed import FREQUENCY, HORIZON, LAG_OVERRIDE, SOURCE_OF, SOURCES
 from tidegauge.sources.readers import RELEASE_LAGS
 
@@ -131,7 +130,7 @@ ORACLES["source_coverage"] = chain(
     "SELECT source, count(*)::BIGINT AS n, min(value_date) AS first_date, max(value_date) AS last_date FROM external GROUP BY 1",
 )
 ORACLES["asof_align"] = chain(
-    DAILY, EXTERNAL, "grid AS (SELECT DISTINCT ts FROM daily)", asof("order_flow", "grid", "a"), "SELECT ts, order_flow FROM a"
+    DAILY, EXTERNAL, "grid AS (SELECT DISTINCT ts FROM daily)", asof_all("grid", "a"), "SELECT ts, " + ", ".join(SOURCES) + " FROM a"
 )
 ORACLES["asof_multi"] = chain(
     DAILY,
@@ -725,16 +724,18 @@ ORACLES["tabular_split"] = chain(
     + ", ".join(rnd(c, 6) for c in LIGHT)
     + f", {rnd('y_reg_h24', 6)}, y_clf_h24, close FROM scl WHERE split IS NOT NULL",
 )
+_BY_FEATURE = " + ".join(f"{k + 1} * f_{c}::DOUBLE" for k, c in enumerate(LIGHT))
 WINDOWS = [
     *SCALED,
-    "sf AS (SELECT *, " + ", ".join(f"coalesce({c}, 0)::FLOAT AS f_{c}" for c in LIGHT[:3]) + " FROM scl)",
+    "sf AS (SELECT *, " + ", ".join(f"coalesce({c}, 0)::FLOAT AS f_{c}" for c in LIGHT) + " FROM scl)",
     f"""win AS (SELECT symbol, ts, rn, split, y_reg_h24, y_clf_h24, (count(*) {frame(168)})::INTEGER AS steps,
-        sum({' + '.join(f'f_{c}::DOUBLE' for c in LIGHT[:3])}) {frame(168)} AS total,
-        first_value(f_{LIGHT[0]}::DOUBLE) {frame(168)} AS oldest, f_{LIGHT[2]}::DOUBLE AS newest FROM sf)""",
+        sum({' + '.join(f'f_{c}::DOUBLE' for c in LIGHT)}) {frame(168)} AS total,
+        sum(rn * ({_BY_FEATURE})) {frame(168)} - (rn - 168) * sum({_BY_FEATURE}) {frame(168)} AS weighted,
+        first_value(f_{LIGHT[0]}::DOUBLE) {frame(168)} AS oldest, f_{LIGHT[-1]}::DOUBLE AS newest FROM sf)""",
 ]
 ORACLES["sequences"] = chain(
     *WINDOWS,
-    f"""SELECT symbol, ts, steps, {rnd('total', 3)}, {rnd('oldest', 3)}, {rnd('newest', 3)}, y_clf_h24 FROM win
+    f"""SELECT symbol, ts, steps, {rnd('total', 3)}, {rnd('weighted', 1)}, {rnd('oldest', 3)}, {rnd('newest', 3)}, y_clf_h24 FROM win
         WHERE rn >= 167 AND y_reg_h24 IS NOT NULL""",
 )
 ORACLES["segment_windows"] = chain(
@@ -793,12 +794,14 @@ ORACLES["ar_moments"] = chain(
     + " GROUP BY 1",
 )
 _SPLIT_ORDER = "OVER (PARTITION BY symbol, split ORDER BY ts)"
-_A, _B = cumulative_weights([-0.4, 0.2], 0.01, H)
 RESTARTED = [
     *SPLITS,
     f"rs AS (SELECT *, coalesce(ln(close) - lag(ln(close)) {_SPLIT_ORDER}, 0) AS r FROM spl WHERE split IS NOT NULL)",
-    f"""fc0 AS (SELECT *, {_A!r}::DOUBLE + {float(_B[0])!r}::DOUBLE * r + {float(_B[1])!r}::DOUBLE * coalesce(lag(r) {_SPLIT_ORDER}, 0) AS y_pred,
-        CASE WHEN split_row >= 23 THEN stddev_samp(r) OVER (PARTITION BY symbol, split ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS v FROM rs)""",
+    f"s1 AS (SELECT *, coalesce(lag(r) {_SPLIT_ORDER}, 0) AS f0, r AS f1 FROM rs)",
+    # one step of the recursion after the other: 24 forecasts follow f0 and f1
+    *[f"s{k} AS (SELECT *, 0.01::DOUBLE - 0.4::DOUBLE * f{k - 1} + 0.2::DOUBLE * f{k - 2} AS f{k} FROM s{k - 1})" for k in range(2, H + 2)],
+    f"""fc0 AS (SELECT *, {' + '.join(f'f{k}' for k in range(2, H + 2))} AS y_pred,
+        CASE WHEN split_row >= 23 THEN stddev_samp(r) OVER (PARTITION BY symbol, split ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS v FROM s25)""",
     f"fc AS (SELECT *, 0.5 * (lag(v) {_SPLIT_ORDER}) * sqrt(24) AS thr FROM fc0)",
 ]
 ORACLES["ar_forecast"] = chain(*RESTARTED, f"SELECT symbol, ts, split, {rnd('y_pred', 8)} FROM fc")
