@@ -117,8 +117,21 @@ def test_external_folder(spark, tmp_path):
     one.to_parquet(tmp_path / "macro_dxy.parquet")
     one.assign(keyword="gold").to_parquet(tmp_path / "sentiment_google_trends.parquet")
     one.to_parquet(tmp_path / "other.parquet")
-    got = {r.source for r in rd.read_external_folder(spark, str(tmp_path)).collect()}
-    assert got == {"dxy", "google_trends:gold"}
+    found = rd.read_external_folder(spark, str(tmp_path))
+    assert {r.source for r in found.collect()} == {"dxy", "google_trends:gold"}
+    assert {str(r.value_date) for r in found.collect()} == {"2024-01-01 00:00:00"}
+    # rows of both sessions meet in one plan
+    assert found.join(spark.createDataFrame([("dxy",)], "source string"), "source").count() == 1
+    assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") == "false"
+
+
+def test_external_round_trip(spark, tmp_path):
+    rows = [(s, f"2024-01-0{d}", f"2024-01-0{d + 1}", float(d)) for s in ("vix", "fear_greed") for d in range(1, 5)]
+    ext = spark.createDataFrame(rows, "source string, v string, r string, value double")
+    ext = ext.select("source", F.to_timestamp("v").alias("value_date"), F.to_timestamp("r").alias("release_date"), "value")
+    path = wr.write_external(ext, str(tmp_path / "ext"))
+    got = rd.read_external_table(spark, path)
+    assert got.columns == ext.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, ext.collect()))
 
 
 def test_sentiment_files_and_fallback(spark, tmp_path, caplog):

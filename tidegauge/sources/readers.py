@@ -45,12 +45,15 @@ def read_external_folder(spark: SparkSession, folder: str) -> DataFrame:
 
     The name without the prefix becomes ``source``. Columns are resolved by name, so files
     that carry a keyword give one source per keyword. Nanosecond times, which pandas writes
-    by default, are read as numbers and cut to microseconds.
+    by default, are read as numbers and cut to microseconds, in a session of their own, so
+    that other reads keep their types.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    files = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    files = own.read.option("mergeSchema", True).option("recursiveFileLookup", True)
     raw = files.parquet(f"{folder}/{{macro,sentiment}}_*.parquet")
-    name = F.regexp_extract(F.input_file_name(), r"/(?:macro|sentiment)_([^/]+?)\.parquet", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:macro|sentiment)_([^/]+?)\.parquet", 1)
     if "keyword" in raw.columns:
         name = F.when(F.col("keyword").isNotNull(), F.concat_ws(":", name, "keyword")).otherwise(name)
     dates = [
@@ -60,6 +63,11 @@ def read_external_folder(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(name.alias("source"), *dates, F.col("value").cast("double").alias("value"))
 
 
+def read_external_table(spark: SparkSession, path: str) -> DataFrame:
+    """External series as ``write_external`` stores them; unread sources are not opened."""
+    return spark.read.parquet(path).select(F.col("source").cast("string").alias("source"), "value_date", "release_date", "value")
+
+
 def read_sentiment_csv(spark: SparkSession, path: str) -> DataFrame:
     """Sentiment file with a loosely named header; released on its value date."""
     raw = spark.read.option("header", True).csv(path)
