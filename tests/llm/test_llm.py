@@ -198,6 +198,22 @@ def test_vectors_link_exactly(spark):
     assert all(got[i].n_links == 0 for i in (900, 901, 902, 903, 904, None))
 
 
+def test_vectors_beside_a_large_group_link_exactly(spark):
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    hot = unit(rng.normal(size=(1, 16)) + rng.normal(scale=0.005, size=(500, 16)))
+    one, aside = unit(rng.normal(size=(500, 16))), rng.normal(size=(500, 16))
+    aside = unit(aside - (aside * one).sum(1, keepdims=True) * one)
+    x = np.concatenate([hot, one, 0.94 * one + np.sqrt(1 - 0.94**2) * aside]).astype(np.float32).astype(np.float64)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    linked = unit(x) @ unit(x).T >= 0.93
+    np.fill_diagonal(linked, False)
+    want = closed(range(len(x)), list(zip(*np.nonzero(linked))))
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(frame, per_cell=8, block=64).collect()}
+    assert [i for i in range(len(x)) if (got[i].component_id, got[i].n_links) != (want[i], linked[i].sum())] == []
+    assert linked[500:].any(axis=1).all()
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(4)
     model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(hmm.CLASSES), 3).T)

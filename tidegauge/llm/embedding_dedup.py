@@ -1,19 +1,19 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 The halves of all (normalised) vectors get a codebook each; the product of both codebooks is
-a grid of cells, and every vector lies in one. A query visits cells in the order of the least
-distance at which they can hold a neighbour, by a multi-sequence walk over both halves: for
-centroid ``i`` against the query's own ``a`` that distance is at least
-``(d(q, i)**2 - d(q, a)**2) / (2 * |c_i - c_a|)``. The walk ends when the distances of both
-halves exceed the search radius together, ``reach`` of its square: at 1 no neighbour can be missed.
-A smaller reach is fitted: ``queries`` vectors, by hash order, meet all vectors, and the
-reach is taken that covers ``recall`` of the pairs they have, and a half more. With fewer
-than 200 such pairs the reach is 1. Visited members are verified by cosine in double
-precision.
-
-Equal vectors collapse first. Cells are cut into blocks of about ``block`` vectors; the members of a block
-are held while its visitors stream by, and a block sends counts and a spanning forest of the
-links it finds, not the links.
+a grid of cells, and every vector lies in one. For centroid ``i`` against the query's own ``a`` a
+neighbour is at least ``(d(q, i)**2 - d(q, a)**2) / (2 * |c_i - c_a|)`` away; a query reaches the
+cells at which both halves' distances together stay within the search radius, ``reach`` of its
+square: at 1, the default, no neighbour can be missed. With ``recall`` under 1 the reach is fitted:
+``queries`` vectors, by hash order, meet all vectors, and the reach is taken that holds every pair
+of ``recall`` of those that have any, and a half more; each counts once, whatever its group.
+Members met are verified by cosine in double precision.
+
+Equal vectors collapse first. The cells of a label, in grid order, are cut into groups of about
+``block`` vectors, and a vector visits a group once, however many of its cells it reaches; so at
+full reach it is sent to half of its label's groups at most. The members of a group are held while
+its visitors stream by, and a group sends counts and a spanning forest of the links it finds, not
+the links.
 """
 
 from __future__ import annotations
@@ -53,21 +53,6 @@ def half_bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.maximum(bound, 0)
 
 
-def visits(first: np.ndarray, second: np.ndarray, radius2: float) -> list[tuple[int, int]]:
-    """Cells in reach, nearest first: both halves' centroids in order, row by row of the grid."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    out = []
-    for i in a:
-        left = radius2 - first[i] ** 2
-        if left < 0:
-            break
-        for j in b:
-            if second[j] ** 2 > left:
-                break
-            out.append((first[i] ** 2 + second[j] ** 2, int(i), int(j)))
-    return [(i, j) for _, i, j in sorted(out)]
-
-
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -142,7 +127,7 @@ def _compare(least: float) -> object:
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, per_cell: int = 64, block: int = 1024, queries: int = 1024, recall: float = 0.999) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, per_cell: int = 64, block: int = 2048, queries: int = 1024, recall: float = 1.0) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding, label)``.
 
     Two vectors link when their labels are equal and not null, their lengths are equal and
@@ -185,15 +170,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, pe
     return placed.unionAll(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _fitted_reach(nodes: DataFrame, asked, books, cut: int, least: float, recall: float, bins: int = 1000) -> float:
-    """Share of the squared radius that covers ``recall`` of the pairs of some queries with all vectors."""
+def _fitted_reach(nodes: DataFrame, asked, books, cut: int, least: float, recall: float, bins: int = 200) -> float:
+    """Share of the squared radius that holds all pairs of ``recall`` of the queries that have any."""
     q, labels, names = asked
     width = len(books[1])
     q1, qb1 = half_bounds(q[:, :cut], books[0])
     q2, qb2 = half_bounds(q[:, cut:], books[1])
 
     def fold(batches) -> np.ndarray:
-        out = np.zeros(bins + 1)
+        out = np.zeros((len(q), bins + 1))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -208,14 +193,16 @@ def _fitted_reach(nodes: DataFrame, asked, books, cut: int, least: float, recall
             # the vector of the lower cell visits the other's
             forward = v1[i] * width + v2[i] >= q1[j] * width + q2[j]
             need = np.where(forward, qb1[j, v1[i]] ** 2 + qb2[j, v2[i]] ** 2, b1[i, q1[j]] ** 2 + b2[i, q2[j]] ** 2)
-            out += np.bincount(np.minimum(np.ceil(need / (2 * (1 - least)) * bins), bins).astype(int), minlength=bins + 1)
-        return out
+            np.add.at(out, (j, np.minimum(np.ceil(need / (2 * (1 - least)) * bins), bins).astype(int)), 1)
+        return out.ravel()
 
-    found = summed(nodes.select("node", "label", F.col("embedding").cast("array<float>").alias("embedding")), fold, bins + 1)
-    if found.sum() < 200:
+    length = len(q) * (bins + 1)
+    found = summed(nodes.select("node", "label", F.col("embedding").cast("array<float>").alias("embedding")), fold, length).reshape(len(q), -1)
+    linked = found[found.any(axis=1)] > 0
+    if not len(linked):
         return 1.0
-    covered = np.searchsorted(np.cumsum(found), recall * found.sum())
-    return min(1.0, 1.5 * covered / bins + 0.02)
+    largest = bins - linked[:, ::-1].argmax(axis=1)
+    return min(1.0, 1.5 * np.quantile(largest, recall, method="higher") / bins + 0.02)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -235,36 +222,60 @@ def _links(nodes: DataFrame, dim: int, least: float, sample: int, per_cell: int,
     cut = max(1, dim // 2)
     books = (codebook(x[:, :cut], k), codebook(x[:, cut:], k) if dim > 1 else np.zeros((1, 0)))
     width = len(books[1])
-    asked = (x[:queries], np.array([r.label for r in rows[:queries]]), np.array([r.node for r in rows[:queries]]))
-    radius2 = _fitted_reach(nodes, asked, books, cut, least, recall) * 2 * (1 - least) + 1e-9
-
-    def place(batch: pa.RecordBatch):
-        v = _matrix(batch.column("embedding"), dim)
+    reach = 1.0
+    if recall < 1:
+        asked = (x[:queries], np.array([r.label for r in rows[:queries]]), np.array([r.node for r in rows[:queries]]))
+        reach = _fitted_reach(nodes, asked, books, cut, least, recall)
+    radius2 = reach * 2 * (1 - least) + 1e-9
+    given = nodes.select("node", "copies", F.col("embedding").cast("array<float>"), F.col("label").cast("int"))
+    # labels of one group are not listed; the others are a ``block``-th of the rows at most
+    sizes = given.groupBy("label").count().where(F.col("count") > block).collect()
+    parts = {r.label: -(-r["count"] // block) for r in sizes}
+
+    def homes_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own1, bound1 = half_bounds(v[:, :cut], books[0])
         own2, bound2 = half_bounds(v[:, cut:], books[1])
-        home = own1 * width + own2
-        at, cells, visitor = [], [], []
-        for i in range(len(v)):
-            for a, b in visits(bound1[i], bound2[i], radius2):
-                cell = a * width + b
-                if cell >= home[i]:  # the other direction finds the rest
-                    at.append(i)
-                    cells.append(cell)
-                    visitor.append(cell != home[i])
+        return own1 * width + own2, bound1**2, bound2**2
+
+    def tally(batches) -> np.ndarray:
+        out = np.zeros(len(books[0]) * width)
+        for batch in batches:
+            if batch.num_rows:
+                out += np.bincount(homes_of(_matrix(batch.column("embedding"), dim))[0], minlength=len(out))
+        return out
+
+    # share of all vectors in the cells before each: a label's groups are equal parts of it
+    cells = summed(given.select("embedding"), tally, len(books[0]) * width) if parts else np.zeros(len(books[0]) * width)
+    before = (np.cumsum(cells) - cells) / max(cells.sum(), 1)
+
+    def place(batch: pa.RecordBatch):
+        home, far1, far2 = homes_of(_matrix(batch.column("embedding"), dim))
+        groups = {label: np.minimum((before * n).astype(np.int64), n - 1) for label, n in parts.items()} if batch.num_rows else {}
+        at, group, visitor = [], [], []
+        for i, label in enumerate(batch.column("label").to_pylist()):
+            of = groups.get(label)
+            own = 0 if of is None else of[home[i]]
+            met = []
+            if of is not None:
+                later = np.searchsorted(of, own, side="right")  # the other direction finds the rest
+                met = np.unique(of[later:][(far1[i][:, None] + far2[i][None, :] <= radius2).ravel()[later:]]).tolist()
+            at += [i] * (1 + len(met))
+            group += [own, *met]
+            visitor += [False] + [True] * len(met)
         at = pa.array(at, pa.int64())
         columns = {c: batch.column(c).take(at) for c in ("node", "copies", "embedding", "label")}
-        yield columns | {"cell": np.array(cells, dtype=np.int64), "visitor": pa.array(visitor, pa.bool_())}
+        yield columns | {"cells": np.array(group, dtype=np.int64), "visitor": pa.array(visitor, pa.bool_())}
 
-    placed = map_batches(nodes.select("node", "copies", F.col("embedding").cast("array<float>"), F.col("label").cast("int")), place, "node long, copies long, embedding array<float>, label int, cell long, visitor boolean")
+    placed = map_batches(given, place, "node long, copies long, embedding array<float>, label int, cells long, visitor boolean")
     placed = materialise(placed)
-    blocks = placed.where("not visitor").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    cut_up = placed.join(blocks, ["label", "cell"])
+    blocks = placed.where("not visitor").groupBy("label", "cells").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    cut_up = placed.join(blocks, ["label", "cells"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     homes = cut_up.where("not visitor").withColumn("block", own)
-    # members visit the later blocks of their own cell
+    # members visit the later blocks of their own group
     inner = cut_up.where("not visitor and blocks > 1").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where(F.col("block") > own).withColumn("visitor", F.lit(True))
     outer = cut_up.where("visitor").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = homes.unionAll(inner).unionAll(outer).select(F.concat_ws(":", "label", "cell", "block").alias("key"), "visitor", "node", "copies", "embedding")
+    keyed = homes.unionAll(inner).unionAll(outer).select(F.concat_ws(":", "label", "cells", "block").alias("key"), "visitor", "node", "copies", "embedding")
     ship_package(spark)
     ordered = keyed.repartition("key").sortWithinPartitions("key", "visitor")
     return ordered.mapInArrow(_compare(least), "u long, v long, n long")
