@@ -115,6 +115,25 @@ def test_substring_dedup_removes_exactly_the_repeats(docs, rows):
     assert all(kept[r[0]] == (want[r[0]][2] if want[r[0]][1] else r[1]) for r in rows)
 
 
+@pytest.mark.parametrize("shared", [47, 90])
+def test_substring_dedup_beside_runs_of_unequal_length(spark, shared):
+    rng = np.random.default_rng(shared)
+    texts = []
+    for k in range(40):
+        passage = " ".join(f"p{v}" for v in rng.integers(0, 10**6, shared))
+        own = [" ".join(f"o{v}" for v in rng.integers(0, 10**6, 30)) for _ in range(4)]
+        long, short = "x " * 6, "x x x "
+        pair = (f"{own[0]} {long}{passage} {own[1]}", f"{own[2]} y {short}{passage} {own[3]}")
+        if k % 4 > 1:  # the mirror case
+            pair = (f"{own[0]} {passage} {long}{own[1]}", f"{own[2]} {passage} {short}y {own[3]}")
+        texts += pair if k % 2 else pair[::-1]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = brute_removed(rows)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want
+    assert all(want[i][1] >= 50 for i in range(1, 80, 2))
+
+
 def test_decontamination_finds_reworded_items(spark, docs, rows):
     rng = np.random.default_rng(9)
     items = [(k, " ".join(f"q{x}" for x in rng.integers(0, 900, 30)) + ". The answer is " + " ".join(f"z{x}" for x in rng.integers(0, 900, 6)) + ".") for k in range(20)]

@@ -12,7 +12,8 @@ a document with a smaller id; windows are judged on the input.
 2. *Sharing.* Spark counts the documents of every symbol of 3 to ``LONGEST`` words. A window
    can be a repeat only if no symbol strictly inside it, a margin from its ends, belongs to a
    single document. Symbols of other lengths, and those beside a long run, never rule a
-   window out, so nothing is lost.
+   window out, so nothing is lost; the latter are counted all the same, since the run can be
+   shorter in another document, where the symbol does rule out.
 3. *Verification.* The windows left are named in full and looked up: the smallest document
    that has the name decides.
 
@@ -39,8 +40,11 @@ MARGIN = LONGEST - 1 + RUN
 _U = np.uint64
 
 
-def recompress(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(name, start, size, usable)`` of the final symbols; starts count words from the first text."""
+def recompress(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(name, start, size, counted, ruling)`` of the final symbols; starts count words from the first text.
+
+    ``counted`` symbols have 3 to ``LONGEST`` words; ``ruling`` ones are also away from long runs.
+    """
     name, n = words.name.copy(), len(words.name)
     of_text = words.text_of()
     # long runs of one word become one symbol
@@ -70,29 +74,31 @@ def recompress(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         name, start, text = name[~joined], start[~joined], text[~joined]
     ends = words.bounds[1:][text]
     size = np.minimum(np.append(start[1:], n), ends) - start
-    usable = (size >= 3) & (size <= LONGEST)
+    counted = (size >= 3) & (size <= LONGEST)
+    ruling = counted.copy()
     if runs.shape[1]:
         before = np.searchsorted(runs[0], start, side="right") - 1
         near = (before >= 0) & (start - runs[1][np.maximum(before, 0)] < MARGIN)
         after = np.searchsorted(runs[0], start, side="left")
         near |= (after < runs.shape[1]) & (runs[0][np.minimum(after, runs.shape[1] - 1)] - (start + size) < MARGIN)
-        usable &= ~near
-    return name, start, size, usable
+        ruling &= ~near
+    return name, start, size, counted, ruling
 
 
 def _symbols(docs: DataFrame, window: int) -> DataFrame:
     def emit(batch: pa.RecordBatch):
         ids = int_column(batch, "doc_id")
         for lo, _, words in sliced_words(batch.column("text")):
-            name, start, size, usable = recompress(words)
+            name, start, size, counted, ruling = recompress(words)
             of = np.searchsorted(words.bounds, start, side="right") - 1
-            usable &= words.counts[of] >= window
+            counted &= words.counts[of] >= window
+            ruling &= counted
             # documents with a window that no symbol can rule out share one name of their own
-            free = _free_starts(words, start[usable], size[usable], window)
+            free = _free_starts(words, start[ruling], size[ruling], window)
             free = np.unique(np.searchsorted(words.bounds, free, side="right") - 1)
-            of, start = of[usable], start[usable]
+            of, start = of[counted], start[counted]
             yield {
-                "name": np.append(name[usable], np.zeros(len(free), dtype=np.uint64)),
+                "name": np.append(name[counted], np.zeros(len(free), dtype=np.uint64)),
                 "doc_id": ids[lo + np.append(of, free)],
                 "pos": np.append(start - words.bounds[of], np.full(len(free), -1)),
             }
@@ -115,8 +121,8 @@ def _free_starts(words: Words, start: np.ndarray, size: np.ndarray, window: int)
 
 def _starts(words: Words, shared: np.ndarray, window: int) -> np.ndarray:
     """Word indices at which a window begins that no unshared symbol rules out."""
-    _, start, size, usable = recompress(words)
-    lone = usable & ~np.isin(start, shared)
+    _, start, size, _, ruling = recompress(words)
+    lone = ruling & ~np.isin(start, shared)
     return _free_starts(words, start[lone], size[lone], window)
 
 
