@@ -155,6 +155,17 @@ def test_decontamination_finds_reworded_items(spark, docs, rows):
     assert decontaminate.lcs(a, b) == 2
 
 
+def test_decontamination_of_many_and_long_items(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 60_000, n))
+    items = [(k, f"{text(30)}. {text(6)}.") for k in range(2000)] + [(5000, text(600))]
+    dirty = [(k, f"{text(80)} {items[k][1]} {text(80)}") for k in range(0, 2001, 20)]
+    clean = [(9000 + k, text(300)) for k in range(20)]
+    frame = spark.createDataFrame(dirty + clean, "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.find_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: [items[k][0]] for k, _ in dirty} | {k: [] for k, _ in clean}
+
+
 def test_mixing_meets_its_targets(docs, rows):
     got = mixing.mix_sources(docs).collect()
     total = sum(len(WORD.findall(r[1] or "")) for r in rows)

@@ -1,17 +1,16 @@
-"""Documents that contain benchmark items, exactly or reworded: latent semantic retrieval.
-
-1. The columns are the benchmark's own words (letters and digits, A-Z lower-cased), weighted by
-   inverse frequency in all documents. Words above ``common`` of all words are left out of the
-   latent space, except that every item keeps its ``rarest`` rarest words.
-2. *Randomised SVD.* Passages of ``2 * STEP`` words of all documents and the items, weighted up,
-   are the rows ``X``. Each task folds its passages into ``X' (X omega)``; from the sum the Nystroem form
-   gives the right singular vectors in a single pass. The matrix on the driver has one row per benchmark
-   word and ``rank`` columns, whatever the corpus.
-3. *Candidates.* Windows of ``SPAN`` words, one every ``STEP`` words, meet all items by cosine
-   in the latent space.
-4. *Verification.* The longest common subsequence of an item and the region around the window
-   decides: ``exact`` of the item's words, or ``loose`` of them and ``answer`` of its answer,
-   which is its last sentence.
+"""Documents that contain benchmark items, exactly or reworded: counting of rare words, then order.
+
+1. All documents are read once for the frequencies of the benchmark's words (letters and digits,
+   A-Z lower-cased).
+2. *Counting.* A region that has ``loose`` of an item's words in order holds all but the rest of
+   any choice of its words. Every item watches its rarest words, as many as may go missing and a
+   share ``spare`` of its length more; a region with fewer than those spare ones cannot pass. So
+   no item, however many or long they are, is lost before verification, and frequencies only
+   decide how much is verified.
+3. *Verification.* Regions begin an item's length before a passage of ``STEP`` words that holds a
+   watched word and end one after the ``SPAN`` words from it. The longest common subsequence of
+   an item and the region decides: ``exact`` of the item's words, or ``loose`` of them and
+   ``answer`` of its answer, which is its last sentence.
 
 Benchmarks of any size work in blocks of ``block_items`` items, a scan each, so that what a
 task holds is bounded.
@@ -19,6 +18,7 @@ task holds is bounded.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +44,9 @@ class Items:
     answers: list[np.ndarray]
     vocabulary: np.ndarray
     member: np.ndarray  # a bit per hash prefix, to pass over most other words quickly
+    fan: np.ndarray | None = None  # where the items of each column begin in ``watching``
+    watching: np.ndarray | None = None
+    need: np.ndarray | None = None  # watched words that a region must hold, by item
 
     def places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word indices that hold a benchmark word, and its column."""
@@ -65,15 +68,19 @@ def answer_of(text: str) -> str:
     return parts[-1] if parts else ""
 
 
+def _members(vocabulary: np.ndarray) -> np.ndarray:
+    member = np.zeros(1 << _BITS, dtype=bool)
+    member[(vocabulary >> _U(64 - _BITS)).view(np.int64)] = True
+    return member
+
+
 def prepare_items(rows: list[tuple[int, str]]) -> Items:
     rows = sorted((i, t) for i, t in rows if i is not None and t)
     words = _names([t for _, t in rows])
     held = [k for k, w in enumerate(words) if len(w)]
     answers = _names([answer_of(rows[k][1]) for k in held])
     vocabulary = np.unique(np.concatenate([words[k] for k in held])) if held else np.zeros(0, dtype=np.uint64)
-    member = np.zeros(1 << _BITS, dtype=bool)
-    member[(vocabulary >> _U(64 - _BITS)).view(np.int64)] = True
-    return Items(np.array([rows[k][0] for k in held], dtype=np.int64), [words[k] for k in held], answers, vocabulary, member)
+    return Items(np.array([rows[k][0] for k in held], dtype=np.int64), [words[k] for k in held], answers, vocabulary, _members(vocabulary))
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -91,118 +98,65 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _passages(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block of ``STEP`` words that each position lies in, counted over all texts, and each text's first block."""
-    blocks = np.concatenate([[0], np.cumsum(-(-words.counts // STEP))])
-    of = np.searchsorted(words.bounds, at, side="right") - 1
-    return blocks[of] + (at - words.bounds[of]) // STEP, blocks
-
-
-def latent_space(docs: DataFrame, items: Items, rank: int, common: float, rarest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Column weights (0: not used) and the right singular vectors, ``(columns, rank)``."""
+def watched(docs: DataFrame, items: Items, loose: float, spare: float) -> Items:
+    """``items`` with the words each of them watches, the rarest in ``docs``, as the vocabulary."""
     size = len(items.vocabulary)
 
     def count(batches) -> np.ndarray:
-        out = np.zeros(size + 1)
+        out = np.zeros(size)
         for batch in batches:
             for _, _, words in sliced_words(batch.column("text"), lower=True, plain=True):
-                out[:size] += np.bincount(items.places(words)[1], minlength=size)
-                out[size] += len(words.name)
+                out += np.bincount(items.places(words)[1], minlength=size)
         return out
 
-    texts = docs.select("text")
-    seen = summed(texts, count, size + 1)
-    weight = np.log1p(seen[size] / (1 + seen[:size]))
-    used = seen[:size] <= common * seen[size]
-    columns = [np.searchsorted(items.vocabulary, w) for w in items.words]
-    for c in columns:
-        distinct = np.unique(c)
-        used[distinct[np.argsort(-weight[distinct], kind="stable")[:rarest]]] = True
-    weight = np.where(used, weight, 0.0)
-    k = min(rank, size)
-    omega = np.random.default_rng(7).standard_normal((size, k)).astype(np.float32)
-
-    def fold(batches) -> np.ndarray:
-        out = np.zeros((size, k))
-        for batch in batches:
-            for _, _, words in sliced_words(batch.column("text"), lower=True, plain=True):
-                at, column = items.places(words)
-                at, column = at[used[column]], column[used[column]]
-                _add_gram(out, _passages(words, at)[0] // 2, column, weight, omega)
-        return out.ravel()
-
-    y = summed(texts, fold, size * k).reshape(size, k)
-    own = np.zeros((size, k))
-    flat = np.concatenate(columns)
-    _add_gram(own, np.repeat(np.arange(len(columns)), [len(c) for c in columns]), flat, weight, omega)
-    # the items count four times the corpus, or its many passages would crowd their rare words out
-    y += own * (4 * max(seen[:size] @ weight**2, 1.0) / max((weight[flat] ** 2).sum(), 1e-9))
-    # A = X'X is known by Y = A omega only: A = Y (omega' Y)^-1 Y'
-    shift = 1e-6 * max(np.linalg.norm(y), 1e-9)
-    y = y + shift * omega
-    core = omega.T.astype(np.float64) @ y
-    values, basis = np.linalg.eigh((core + core.T) / 2)
-    good = values > 1e-9 * values.max()
-    u, _, _ = np.linalg.svd(y @ (basis[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return weight, u.astype(np.float32)
-
-
-def _add_gram(out: np.ndarray, row: np.ndarray, column: np.ndarray, weight: np.ndarray, omega: np.ndarray) -> None:
-    """Add ``X' (X omega)`` for the entries ``(row, column)``, rows in ascending order."""
-    if not len(row):
-        return
-    scaled = weight[column].astype(np.float32)[:, None]
-    cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    z = np.add.reduceat(omega[column] * scaled, cuts, axis=0)
-    back = z[np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(row))))] * scaled
+    seen = summed(docs.select("text"), count, size)
+    columns, owners, need = [], [], []
+    for i, words in enumerate(items.words):
+        distinct, copies = np.unique(np.searchsorted(items.vocabulary, words), return_counts=True)
+        order = np.argsort(seen[distinct], kind="stable")
+        missing = len(words) - math.ceil(loose * len(words) - 1e-9)
+        held = np.cumsum(copies[order])
+        last = np.searchsorted(held, min(len(words), missing + max(1, math.ceil(spare * len(words)))))
+        columns.append(distinct[order[: last + 1]])
+        owners.append(np.full(last + 1, i))
+        need.append(held[last] - missing)
+    column, owner = np.concatenate(columns), np.concatenate(owners)
     order = np.argsort(column, kind="stable")
-    sorted_columns = column[order]
-    first = np.flatnonzero(np.append(True, sorted_columns[1:] != sorted_columns[:-1]))
-    out[sorted_columns[first]] += np.add.reduceat(back[order], first, axis=0)
+    used, first = np.unique(column[order], return_index=True)
+    vocabulary = items.vocabulary[used]
+    return Items(items.ids, items.words, items.answers, vocabulary, _members(vocabulary), np.append(first, len(order)), owner[order], np.array(need))
 
 
-def _search(words: Words, items: Items, weight, space, queries, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, first word, item)`` of the windows whose latent cosine reaches ``least``."""
+def _search(words: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, region's first word, end, item)`` where a region holds enough of an item's watched words."""
     at, column = items.places(words)
-    keep = weight[column] > 0
-    at, column = at[keep], column[keep]
-    empty = np.zeros(0, dtype=np.int64)
-    if not len(at):
-        return empty, empty, empty
-    block, first = _passages(words, at)
-    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    sums = np.add.reduceat(space[column] * weight[column].astype(np.float32)[:, None], cuts, axis=0)
-    squares = np.add.reduceat(weight[column] ** 2, cuts)
-    filled, text = block[cuts], np.searchsorted(first, block[cuts], side="right") - 1
-    out = [empty, empty, empty]
-    # a window starts at a filled block; its other blocks are the next filled ones near enough
-    total, square = sums.copy(), squares.copy()
-    for k in range(1, SPAN // STEP):
-        near = np.flatnonzero((filled[k:] - filled[:-k] < SPAN // STEP) & (text[k:] == text[:-k]))
-        total[near] += sums[near + k]
-        square[near] += squares[near + k]
-    for lo in range(0, len(total), 8192):
-        part = total[lo : lo + 8192]
-        # cosine against the whole passage vector: what the space leaves out counts in the norm
-        cosine = (part @ queries.T) / np.sqrt(np.maximum(square[lo : lo + 8192], 1e-12))[:, None]
-        w, i = np.nonzero(cosine >= least)
-        w += lo
-        start = words.bounds[text[w]] + (filled[w] - first[text[w]]) * STEP
-        out = [np.append(a, b) for a, b in zip(out, (text[w], start, i))]
-    return tuple(out)
-
-
-def _verdicts(batch: pa.RecordBatch, items: Items, weight, space, queries, rule) -> Iterator[tuple[int, int, list[list[int]], np.ndarray]]:
-    least, exact, loose, answer = rule
+    times = items.fan[column + 1] - items.fan[column]
+    ends = np.cumsum(times)
+    item = items.watching[np.arange(times.sum()) + np.repeat(items.fan[column] - (ends - times), times)]
+    stride = len(words.name) + 1
+    key = np.sort(item * stride + np.repeat(at, times))
+    item, at = np.divmod(key, stride)
+    text = np.searchsorted(words.bounds, at, side="right") - 1
+    start = words.bounds[text] + (at - words.bounds[text]) // STEP * STEP
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+    item, text, start = item[new], text[new], start[new]
+    size = np.array([len(w) for w in items.words], dtype=np.int64)[item]
+    lo = np.maximum(words.bounds[text], start - size - STEP)
+    hi = np.minimum(words.bounds[text + 1], start + SPAN + size + STEP)
+    enough = np.searchsorted(key, item * stride + hi) - np.searchsorted(key, item * stride + lo) >= items.need[item]
+    return text[enough], lo[enough], hi[enough], item[enough]
+
+
+def _verdicts(batch: pa.RecordBatch, items: Items, rule) -> Iterator[tuple[int, int, list[list[int]], np.ndarray]]:
+    exact, loose, answer = rule
     for lo, hi, words in sliced_words(batch.column("text"), lower=True, plain=True):
         found: list[dict[int, float]] = [{} for _ in range(hi - lo)]
         best = np.zeros(hi - lo)
-        for t, start, i in zip(*(x.tolist() for x in _search(words, items, weight, space, queries, least))):
+        for t, a, b, i in zip(*(x.tolist() for x in _search(words, items))):
             if i in found[t]:
                 continue
             item, said = items.words[i], items.answers[i]
-            a = max(words.bounds[t], start - len(item) - STEP)
-            b = min(words.bounds[t + 1], start + SPAN + len(item) + STEP)
             region = words.name[a:b]
             common = lcs(item, region) / len(item)
             best[t] = max(best[t], common)
@@ -211,33 +165,23 @@ def _verdicts(batch: pa.RecordBatch, items: Items, weight, space, queries, rule)
         yield lo, hi, [sorted(items.ids[list(f)].tolist()) for f in found], best
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, rank: int, common: float, rarest: int, least: float):
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_items: int, rule: tuple[float, float, float], spare: float):
     held = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     blocks = -(-max(held.count(), 1) // block_items)
     for k in range(blocks):
         part = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         items = prepare_items([(r.item_id, r.text) for r in part.collect()])
-        if not len(items.ids):
-            continue
-        weight, space = latent_space(docs, items, rank, common, rarest)
-        queries = np.zeros((len(items.ids), space.shape[1]), dtype=np.float32)
-        for i, w in enumerate(items.words):
-            c = np.searchsorted(items.vocabulary, w)
-            queries[i] = (space[c] * weight[c].astype(np.float32)[:, None]).sum(0)
-            queries[i] /= max(float(np.sqrt((weight[np.unique(c)] ** 2).sum())), 1e-9)
-        yield items, weight, space, queries
+        if len(items.ids):
+            yield watched(docs, items, min(rule[:2]), spare)
 
 
 def find_contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
-    least: float = 0.4,
     exact: float = 0.75,
     loose: float = 0.6,
     answer: float = 0.8,
-    rank: int = 256,
-    common: float = 3e-5,
-    rarest: int = 6,
+    spare: float = 0.3,
     block_items: int = 4096,
 ) -> DataFrame:
     """``(doc_id, contaminated, items, best_lcs)`` for every row of ``docs(doc_id, text)``.
@@ -247,13 +191,13 @@ def find_contaminated(
     Items without id, text or words are ignored; repeated items are found each. Repeated rows
     repeat their verdict. Other columns are not looked at; empty tables give no findings.
     """
-    rule = (least, exact, loose, answer)
+    rule = (exact, loose, answer)
     schema = "doc_id long, contaminated boolean, items array<long>, best_lcs double"
     parts = []
-    for items, weight, space, queries in _blocks(docs, benchmark, block_items, rank, common, rarest, least):
+    for items in _blocks(docs, benchmark, block_items, rule, spare):
 
-        def emit(batch: pa.RecordBatch, given=(items, weight, space, queries)):
-            for lo, hi, found, best in _verdicts(batch, *given, rule):
+        def emit(batch: pa.RecordBatch, items=items):
+            for lo, hi, found, best in _verdicts(batch, items, rule):
                 yield {
                     "doc_id": batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
                     "contaminated": pa.array([bool(f) for f in found]),
@@ -273,16 +217,17 @@ def find_contaminated(
     return docs.select(F.col("doc_id").cast("long")).alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "contaminated", "items", "best_lcs")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.4, exact: float = 0.75, loose: float = 0.6, answer: float = 0.8, rank: int = 256, common: float = 3e-5, rarest: int = 6, block_items: int = 4096) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, exact: float = 0.75, loose: float = 0.6, answer: float = 0.8, spare: float = 0.3, block_items: int = 4096) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``find_contaminated`` finds nothing."""
     ship_package(docs.sparkSession)
+    rule = (exact, loose, answer)
     out = docs
-    for items, weight, space, queries in _blocks(docs, benchmark, block_items, rank, common, rarest, least):
+    for items in _blocks(docs, benchmark, block_items, rule, spare):
 
-        def run(batches: Iterator[pa.RecordBatch], given=(items, weight, space, queries)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for lo, hi, found, _ in _verdicts(batch, *given, (least, exact, loose, answer)):
+                for lo, hi, found, _ in _verdicts(batch, items, rule):
                     clean[lo:hi] = [not f for f in found]
                 yield batch.filter(pa.array(clean))
 
