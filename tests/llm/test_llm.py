@@ -166,6 +166,25 @@ def test_decontamination_of_many_and_long_items(spark):
     assert got == {k: [items[k][0]] for k, _ in dirty} | {k: [] for k, _ in clean}
 
 
+def test_decontamination_finds_items_without_their_rarest_words(spark):
+    rng = np.random.default_rng(5)
+    plain = [f"c{k}" for k in range(150)]
+    filler = [(1000 + k, " ".join(rng.choice(plain, 400))) for k in range(60)]
+    items, dirty = [], []
+    for k in range(20):
+        words = [str(x) for x in rng.choice(plain, 30)]
+        for j in range(0, 24, 4):
+            words[j] = f"r{k}n{j}"
+        said = [str(x) for x in rng.choice(plain, 6)]
+        items.append((k, " ".join(words) + ". " + " ".join(said) + "."))
+        for j in range(0, 24, 4):
+            words[j] = "swapped"
+        dirty.append((k, " ".join(rng.choice(plain, 100)) + " " + " ".join(words + said) + " " + " ".join(rng.choice(plain, 100))))
+    frame = spark.createDataFrame(dirty + filler, "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.find_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(k in got[k] for k in range(20))
+
+
 def test_mixing_meets_its_targets(docs, rows):
     got = mixing.mix_sources(docs).collect()
     total = sum(len(WORD.findall(r[1] or "")) for r in rows)
