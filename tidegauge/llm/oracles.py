@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 WORD = r"'[^\x20\x09-\x0D]+'"
+TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
 
@@ -71,3 +72,21 @@ c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (g), range(50) t(k)
 a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
 k AS (SELECT a.doc_id, string_agg(x, ' ' ORDER BY a.i) AS kept, count(*) AS n FROM a ANTI JOIN c ON a.doc_id = c.doc_id AND a.i = c.i GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+ORACLES["op11_fill_in_middle"] = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || doc_id) AS h FROM documents),
+d AS (SELECT doc_id, x, length(x)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, '<P>' || substr(x, 1, a) AS p, '<M>' || substr(x, a + 1, b - a) AS m, '<S>' || substr(x, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM p"""
+
+ORACLES["op12_lexical_search"] = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {TERM}) AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {TERM})) AS t FROM benchmark),
+n AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+u AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS (SELECT t, count(*) AS df FROM u WHERE t IN (SELECT t FROM b) GROUP BY 1),
+g AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM k, n),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * u.n * n_docs) // n_terms))))::BIGINT AS score FROM b JOIN g USING (t) JOIN u USING (t), n GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""

@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.bpe import Vocabulary, encode_texts
 from tidegauge.llm.chat import digests, format_conversations
 from tidegauge.llm.decontaminate import find_contaminated
 from tidegauge.llm.embedding_dedup import near_vectors
 from tidegauge.llm.hmm import score_texts
+from tidegauge.llm.infill import infill_digests
 from tidegauge.llm.language import identify, train_language
+from tidegauge.llm.lexical_search import search_documents
 from tidegauge.llm.mixing import mix_sources
 from tidegauge.llm.ngram_join import jaccard_components
 from tidegauge.llm.quality import score_quality, train_quality
@@ -88,6 +91,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for infilling, with digests of the output and of the text restored from it."""
+    return infill_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return search_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the word vocabulary."""
+    import public_tokenizers
+
+    vocabulary = Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+    coded = encode_texts(_table(spark, sf_dir, "documents"), vocabulary, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -99,4 +121,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_bpe": op13_bpe,
 }

@@ -161,6 +161,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dic
         for batch in batches:
             for columns in function(batch):
                 yield record(columns, target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
