@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+ARROW_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -30,12 +31,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session zone and make sure a durable checkpoint folder is known.
+    """Pin the session zone, bound Arrow batches and make sure a durable checkpoint folder is known.
+
+    Batches for Python tasks are bounded by bytes (4 MB unless the session says otherwise),
+    because rows of text differ in size by orders of magnitude.
 
     The folder comes from ``spark.checkpoint.dir``. Only a local master may fall back
     to a scratch folder, because executors elsewhere could not read it.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(ARROW_BYTES_KEY, None) is None:
+        spark.conf.set(ARROW_BYTES_KEY, str(4 << 20))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
