@@ -17,12 +17,12 @@ on the data. Texts are encoded where they lie, without a shuffle.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from tidegauge.llm.text import map_batches
@@ -32,9 +32,10 @@ KEEP = 200_000
 LONG_WORD = 64
 _NEVER = 1 << 60
 #: Texts of these characters are lower-cased and split here; for others the tokenizers library does both.
-_PLAIN = regex.compile(r"[\x00-ɏ‐-‧€]*")
-#: The split pattern of the vocabulary file, with its white space spelt out for plain characters.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0D\x20\x85\xA0\p{L}\p{N}]+")
+_PLAIN = re.compile("[\x00-ȹ‐-‧€]*")
+#: The split pattern of the vocabulary file, with its letters, numbers and white space spelt out for plain characters.
+_L, _N, _GAP = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼½¾", r"\x09-\x0D\x20\x85\xA0"
+_SPLIT = re.compile(f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^{_GAP}{_L}{_N}]+")
 
 
 def byte_letters() -> list[str]:
@@ -90,8 +91,15 @@ class PrefixEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self._edges: tuple[dict, dict] = ({}, {})
+        #: Length of the longest token with the same last two characters.
+        self._reach: dict[str, int] = {}
+        for token in vocabulary.ids:
+            bare = token.removesuffix(vocabulary.end)
+            ending = bare[-2:] + token[len(bare) :]
+            self._reach[ending] = max(self._reach.get(ending, 0), len(bare))
         self._apart: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
+        self._tokens = {token for token in vocabulary.ids if self.whole(token)}
 
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """Pieces that stand at the start (0) or end (1) of a token while it is merged, and when each goes."""
@@ -122,28 +130,29 @@ class PrefixEncoder:
         held = self._whole.get(token)
         if held is None:
             parts = self.vocabulary.parts.get(token)
-            held = token in self.vocabulary.ids and (
-                parts is None or (self.whole(parts[0]) and self.whole(parts[1]) and not self._crosses(*parts, self.vocabulary.rank[parts]))
-            )
+            held = token in self.vocabulary.ids
+            if held and parts is not None:
+                held = self.whole(parts[0]) and self.whole(parts[1]) and not self._crosses(*parts, self.vocabulary.rank[parts])
             self._whole[token] = held
         return held
 
     def apart(self, left: str, right: str) -> bool:
-        held = self._apart.get((left, right))
-        if held is None:
-            held = self._apart[left, right] = not self._crosses(left, right, _NEVER)
-            if len(self._apart) > 4 * KEEP:
-                self._apart.clear()
+        if len(self._apart) > 4 * KEEP:
+            self._apart.clear()
+        held = self._apart[left, right] = not self._crosses(left, right, _NEVER)
         return held
 
     def _last(self, tail: str, depth: int, mark: str, last: list[str]) -> tuple[str, int]:
         """Last token of the path of ``depth`` characters that ends in ``tail``, and the depth where it begins."""
-        ids = self.vocabulary.ids
-        for start in range(len(tail)):
-            token = tail[start:] + mark
-            if token in ids and self.whole(token):
-                begin = depth - len(tail) + start
-                if begin == 0 or self.apart(last[begin], token):
+        n = len(tail)
+        for size in range(min(self._reach.get(tail[-2:] + mark, 1), n), 0, -1):
+            token = tail[n - size :] + mark
+            if token in self._tokens:
+                begin = depth - size
+                if not begin:
+                    return token, 0
+                held = self._apart.get((last[begin], token))
+                if held or (held is None and self.apart(last[begin], token)):
                     return token, begin
         raise ValueError(f"the vocabulary has no token for {tail[-1:] + mark!r}")
 
@@ -187,7 +196,7 @@ class TextEncoder:
         self._walk = PrefixEncoder(vocabulary)
         self._known: dict[str, bytes] = {}
         self._library = None
-        self._special = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
+        self._special = re.compile("|".join(re.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
 
     def _words(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
