@@ -324,7 +324,7 @@ def test_odd_texts_get_defined_results(spark, docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings", "conversations"):
+    for table in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want, got = con.sql(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)

@@ -192,29 +192,25 @@ def find_contaminated(
     repeat their verdict. Other columns are not looked at; empty tables give no findings.
     """
     rule = (exact, loose, answer)
-    schema = "doc_id long, contaminated boolean, items array<long>, best_lcs double"
-    parts = []
+    columns = "doc_id long, contaminated boolean, items array<long>, best_lcs double"
+    judged = docs.select(F.col("doc_id").cast("long"), "text", F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("best_lcs"))
     for items in _blocks(docs, benchmark, block_items, rule, spare):
 
         def emit(batch: pa.RecordBatch, items=items):
+            before = [batch.column(c).to_pylist() for c in ("items", "best_lcs")]
             for lo, hi, found, best in _verdicts(batch, items, rule):
+                every = [sorted(a + b) for a, b in zip(before[0][lo:hi], found)]
                 yield {
-                    "doc_id": batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
-                    "contaminated": pa.array([bool(f) for f in found]),
-                    "items": pa.array(found, pa.list_(pa.int64())),
-                    "best_lcs": best,
+                    "doc_id": batch.column("doc_id").slice(lo, hi - lo),
+                    "text": batch.column("text").slice(lo, hi - lo),
+                    "contaminated": pa.array([bool(f) for f in every]),
+                    "items": pa.array(every, pa.list_(pa.int64())),
+                    "best_lcs": np.maximum(best, before[1][lo:hi]),
                 }
 
-        parts.append(map_batches(docs.select("doc_id", "text"), emit, schema))
-    if not parts:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("best_lcs"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionAll(part)
-    merged = every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("best_lcs").alias("best_lcs"))
-    return docs.select(F.col("doc_id").cast("long")).alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "contaminated", "items", "best_lcs")
+        # a block of items after the other adds to the verdict of each row
+        judged = map_batches(judged, emit, columns.replace("contaminated", "text string, contaminated"))
+    return judged.drop("text")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, exact: float = 0.75, loose: float = 0.6, answer: float = 0.8, spare: float = 0.3, block_items: int = 4096) -> DataFrame:

@@ -134,7 +134,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: object, sample: int
         for lo, hi, x in _rows(there.column("text")):
             yield {"doc_id": there.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), "x": pa.array([row.astype(np.float32).tobytes() for row in x], pa.binary())}
 
-    got = map_batches(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), emit, "doc_id long, x binary").dropDuplicates(["doc_id"]).collect()
+    # of the texts of a repeated id the one with the smallest features counts
+    found = map_batches(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), emit, "doc_id long, x binary")
+    got = found.groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     got.sort(key=lambda r: r.doc_id)
     held, x = np.array([r.doc_id for r in got]), np.array([np.frombuffer(r.x, dtype=np.float32) for r in got])
     return fit_nnpu(x[np.isin(held, chosen["p"])], x[np.isin(held, chosen["u"])], min(float(stats), 0.999))

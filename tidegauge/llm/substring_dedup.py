@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.text import Words, combine, hash_bits, int_column, map_batches, mix64, sliced_words, where_marked
+from tidegauge.llm.text import Words, combine, hash_bits, int_column, map_batches, marked_values, mix64, sliced_words, where_marked
 from tidegauge.session import materialise, ship_package
 
 ROUNDS, RUN = 3, 4
@@ -85,9 +85,27 @@ def recompress(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return name, start, size, counted, ruling
 
 
-def _symbols(docs: DataFrame, window: int) -> DataFrame:
+def _repeated_ids(docs: DataFrame, bits: int = 20) -> np.ndarray:
+    """A bit map of the ids that stand on rows with different texts."""
+    texts = docs.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    return hash_bits(texts.where("a <> b").select("doc_id"), bits)
+
+
+def _row_keys(batch: pa.RecordBatch, repeated: np.ndarray) -> np.ndarray:
+    """0 for a row whose id names one text, else the hash of its text: with the id it names the row's text."""
+    return np.where(marked_values(int_column(batch, "doc_id"), repeated), int_column(batch, "row"), 0)
+
+
+def _of_row(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined to the table of places by id, and by text where the id has several."""
+    there = places.withColumnsRenamed({"doc_id": "_of_id", "row": "_of_text"})
+    same = (F.col("doc_id") == F.col("_of_id")) & ((F.col("_of_text") == 0) | (F.col("_of_text") == F.xxhash64("text")))
+    return docs.join(there, same, how).drop("_of_id", "_of_text")
+
+
+def _symbols(docs: DataFrame, window: int, repeated) -> DataFrame:
     def emit(batch: pa.RecordBatch):
-        ids = int_column(batch, "doc_id")
+        ids, keys = int_column(batch, "doc_id"), _row_keys(batch, repeated.value)
         for lo, _, words in sliced_words(batch.column("text")):
             name, start, size, counted, ruling = recompress(words)
             of = np.searchsorted(words.bounds, start, side="right") - 1
@@ -97,13 +115,15 @@ def _symbols(docs: DataFrame, window: int) -> DataFrame:
             free = _free_starts(words, start[ruling], size[ruling], window)
             free = np.unique(np.searchsorted(words.bounds, free, side="right") - 1)
             of, start = of[counted], start[counted]
+            of_row = lo + np.append(of, free)
             yield {
                 "name": np.append(name[counted], np.zeros(len(free), dtype=np.uint64)),
-                "doc_id": ids[lo + np.append(of, free)],
+                "doc_id": ids[of_row],
+                "row": keys[of_row],
                 "pos": np.append(start - words.bounds[of], np.full(len(free), -1)),
             }
 
-    return map_batches(docs, emit, "name long, doc_id long, pos int")
+    return map_batches(docs, emit, "name long, doc_id long, row long, pos int")
 
 
 def _free_starts(words: Words, start: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
@@ -127,39 +147,43 @@ def _starts(words: Words, shared: np.ndarray, window: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """``(doc_id, pos)``: windows that also start in a document with a smaller id."""
+    """``(doc_id, row, pos)``: windows that also start in a document with a smaller id.
+
+    ``row`` is 0 but for ids on rows with different texts, where it is the hash of the text.
+    """
     if window < 2 * MARGIN + 2 * LONGEST - 1:
         raise ValueError(f"windows need {2 * MARGIN + 2 * LONGEST - 1} words at least")
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    symbols = _symbols(docs, window).repartition("name").sortWithinPartitions("name", "doc_id")
-    shared = symbols.mapInArrow(_of_several, "doc_id long, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("shared"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row")).where("doc_id is not null")
+    repeated = docs.sparkSession.sparkContext.broadcast(_repeated_ids(docs))
+    symbols = _symbols(docs, window, repeated).repartition("name").sortWithinPartitions("name", "doc_id")
+    shared = symbols.mapInArrow(_of_several, "doc_id long, row long, pos int").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("shared"))
 
     def emit(batch: pa.RecordBatch):
-        ids = int_column(batch, "doc_id")
+        ids, keys = int_column(batch, "doc_id"), _row_keys(batch, repeated.value)
         lists = batch.column("shared")
         flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
         for lo, hi, words in sliced_words(batch.column("text")):
             rows = np.repeat(np.arange(hi - lo), np.diff(cuts[lo : hi + 1]))
             at = _starts(words, flat[cuts[lo] : cuts[hi]] + words.bounds[rows], window)
             of = np.searchsorted(words.bounds, at, side="right") - 1
-            yield {"name": combine(words.name, window)[at], "doc_id": ids[lo + of], "pos": at - words.bounds[of]}
+            yield {"name": combine(words.name, window)[at], "doc_id": ids[lo + of], "row": keys[lo + of], "pos": at - words.bounds[of]}
 
-    windows = map_batches(docs.join(shared, "doc_id"), emit, "name long, doc_id long, pos int")
+    windows = map_batches(_of_row(docs, shared, "inner"), emit, "name long, doc_id long, row long, pos int")
     ordered = windows.repartition("name").sortWithinPartitions("name", "doc_id")
-    return ordered.mapInArrow(_after_first, "doc_id long, pos int")
+    return ordered.mapInArrow(_after_first, "doc_id long, row long, pos int")
 
 
-def _runs(batch: pa.RecordBatch, before: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(batch: pa.RecordBatch, before: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Columns of a sorted batch, after ``before``, and where the runs of equal names begin."""
-    columns = [batch.column(c).to_numpy() for c in ("name", "doc_id", "pos")]
+    columns = [batch.column(c).to_numpy() for c in ("name", "doc_id", "row", "pos")]
     if before is not None:
         columns = [np.concatenate(pair) for pair in zip(before, columns)]
     name = columns[0]
     return (*columns, np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, dtype=np.int64))
 
 
-def _places(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int32())})
+def _places(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "row": pa.array(row, pa.int64()), "pos": pa.array(pos, pa.int32())})
 
 
 def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +192,15 @@ def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        name, doc, pos, starts = _runs(batch, held)
+        name, doc, row, pos, starts = _runs(batch, held)
         size = np.diff(np.append(starts, len(name)))
         several = np.logical_or.reduceat(doc != np.repeat(doc[starts], size), starts)
         several[0] |= name[0] == open_name
         keep = np.repeat(several, size)
         # the last run may go on; until a second document comes, its rows wait
         last = starts[-1]
-        held, open_name = (None, name[-1]) if several[-1] else ([x[last:] for x in (name, doc, pos)], None)
-        yield _places(doc[keep], pos[keep])
+        held, open_name = (None, name[-1]) if several[-1] else ([x[last:] for x in (name, doc, row, pos)], None)
+        yield _places(doc[keep], row[keep], pos[keep])
 
 
 def _after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,39 +209,40 @@ def _after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        name, doc, pos, starts = _runs(batch)
+        name, doc, row, pos, starts = _runs(batch)
         first = doc[starts]
         if carried is not None and carried[0] == name[0]:
             first[0] = carried[1]
         carried = (name[-1], first[-1])
         later = doc != np.repeat(first, np.diff(np.append(starts, len(name))))
-        yield _places(doc[later], pos[later])
+        yield _places(doc[later], row[later], pos[later])
 
 
 def _with_gone(docs: DataFrame, window: int, filter_bits: int = 24) -> DataFrame:
-    """``docs`` and the starts of their repeated windows as ``gone``.
+    """``docs`` and the starts of their repeated windows as ``_gone``.
 
     A bit map of fixed size tells which documents may have any; only those are shuffled.
     """
-    gone = materialise(repeated_windows(docs, window).groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))
+    gone = materialise(repeated_windows(docs, window).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("_gone")))
     bits = hash_bits(gone.select("doc_id"), filter_bits)
-    marked = where_marked(docs, "doc_id", bits, True).join(gone, "doc_id", "left").select(*docs.columns, "gone")
-    return marked.unionAll(where_marked(docs, "doc_id", bits, False).withColumn("gone", F.lit(None).cast("array<int>")))
+    marked = _of_row(where_marked(docs, "doc_id", bits, True), gone, "left").select(*docs.columns, "_gone")
+    return marked.unionAll(where_marked(docs, "doc_id", bits, False).withColumn("_gone", F.lit(None).cast("array<int>")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for every row; ``kept`` joins the words left by one space.
 
-    Null and empty texts have no words. Rows with a null ``doc_id`` are returned whole, and
-    rows that repeat a ``doc_id`` count as one document when windows are judged. Other columns
-    are not looked at; an empty table gives an empty result.
+    Null and empty texts have no words. Rows with a null ``doc_id`` are returned whole. Rows that
+    repeat a ``doc_id`` never take words from each other; each loses the windows of its own text
+    that start in a row with a smaller id. Other columns are not looked at; an empty table gives
+    an empty result.
     """
     docs = docs.select("doc_id", "text")
     return _cut(_with_gone(docs, window), window, "kept")
 
 
 def _kept_texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
-    lists = batch.column("gone")
+    lists = batch.column("_gone")
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat, cuts = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
     for lo, hi, words in sliced_words(batch.column("text")):

@@ -228,6 +228,12 @@ def hash_bits(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def marked_values(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which integers have their bit set."""
+    at, bit = _bit_places(values, int(len(bits) * 8).bit_length() - 1)
+    return bits[at] & bit != 0
+
+
 def where_marked(df: DataFrame, column: str, bits: np.ndarray, marked: bool) -> DataFrame:
     """The rows whose value has its bit set (or not set); a null has none."""
     shared, width = df.sparkSession.sparkContext.broadcast(bits), int(len(bits) * 8).bit_length() - 1
