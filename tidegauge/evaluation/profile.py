@@ -14,8 +14,9 @@ from tidegauge.evaluation.diagnostics import histogram
 from tidegauge.functions.stats import pearson, sample_kurtosis, sample_skewness
 from tidegauge.functions.technical import log_returns
 from tidegauge.operators.blocks import Blocked, SeriesSpec, index_rows
-from tidegauge.operators.ordered import exact_quantiles, to_long
+from tidegauge.operators.ordered import exact_quantiles, to_long, wide_quantiles
 from tidegauge.operators.validate import gap_counts, weekend
+from tidegauge.session import materialise
 
 
 def bar_returns(bars: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -74,8 +75,10 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symb
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    stored = materialise(df.select(*keys, *columns))
     quart = (
-        exact_quantiles(long, group, "value", [0.25, 0.5, 0.75])
+        wide_quantiles(stored, keys, columns, [0.25, 0.5, 0.75])
+        .withColumnRenamed("feature", "column")
         .groupBy(*group)
         .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     )

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.blocks import SeriesSpec, time_bucket
+from tidegauge.operators.intervals import interval_join
+from tidegauge.operators.ordered import following
+from tidegauge.session import materialise
 
 REQUIRED = ("source", "release_date", "value")
 
@@ -100,35 +103,69 @@ def align_sources(bars: DataFrame, external: DataFrame, sources: Sequence[str],
     return bars.join(align_grid(bars.select(spec.ts), external, sources, spec), spec.ts, "left")
 
 
+def asof_keyed(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    at: str,
+    values: Sequence[str],
+    within: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Every row of ``left`` with ``values`` of the latest row of ``right`` of its keys, at or before its time.
+
+    Rows of both tables meet in range partitions on (keys, time), so one hot key spreads over
+    many tasks. The last known value is filled forward inside a partition; a table with one
+    row per key and partition carries it over the cuts.
+
+    Several rows of ``right`` at one time count as one, the largest by ``values``. A value may be
+    NULL and then replaces the one before it. ``within`` (an interval such as ``'7 days'``) drops
+    older matches. Rows of ``left`` without a match, with a NULL key or a NULL time get NULLs;
+    rows of ``right`` with a NULL key or time match nothing. Repeated rows of ``left`` all stay.
+    """
+    keys = list(keys)
+    clash = [c for c in values if c in left.columns]
+    if clash:
+        raise ValueError(f"columns {clash} are in both tables; rename them first")
+    stamp = left.schema[ts].dataType.simpleString()
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    here = known & F.col(ts).isNotNull()
+    facts = (
+        right.where(known & F.col(at).isNotNull())
+        .select(*keys, F.col(at).cast(stamp).alias(ts), F.struct(*values).alias("_fact"))
+        .groupBy(*keys, ts)
+        .agg(F.max("_fact").alias("_fact"))
+    )
+    rows = left.where(here).select(*keys, ts, F.lit(True).alias("_late"), F.struct(*left.columns).alias("_row"))
+    events = rows.unionByName(facts.withColumn("_late", F.lit(False)), allowMissingColumns=True)
+    cuts = [*keys, ts]
+    ranged = events.repartitionByRange(partitions, *cuts) if partitions else events.repartitionByRange(*cuts)
+    parts = materialise(ranged.withColumn("_part", F.spark_partition_id()))
+    found = F.when(~F.col("_late"), F.struct(F.col(ts).alias("t"), F.col("_fact").alias("v")))
+    ends = parts.groupBy(*keys, "_part").agg(F.max(found).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_part", F.last("_end", ignorenulls=True).over(before).alias("_in"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(ts, "_late").rowsBetween(Window.unboundedPreceding, 0)
+    filled = parts.withColumn("_here", F.last(found, ignorenulls=True).over(inside)).where("_late")
+    hit = F.coalesce("_here", "_in")
+    if within is not None:
+        hit = F.when(hit["t"] >= F.col(ts) - F.expr(f"INTERVAL {within}"), hit)
+    matched = filled.join(carried, [*keys, "_part"]).withColumn("_hit", hit)
+    out = matched.select("_row.*", *[F.col("_hit.v")[c].alias(c) for c in values])
+    fields = {f.name: f.dataType for f in right.schema}
+    return out.unionByName(left.where(~here).withColumns({c: F.lit(None).cast(fields[c]) for c in values}))
+
+
 def release_intervals(external: DataFrame) -> DataFrame:
     """``(source, valid_from, valid_to, value)``: each fact until the next release of its source."""
-    order = Window.partitionBy("source").orderBy("release_date")
-    return latest_per_release(external).select(
-        "source",
-        F.col("release_date").alias("valid_from"),
-        F.lead("release_date").over(order).alias("valid_to"),
-        "value",
-    )
+    facts = following(latest_per_release(external), ["source"], "release_date", "_next")
+    return facts.select("source", F.col("release_date").alias("valid_from"), F.col("_next").alias("valid_to"), "value")
 
 
 def align_intervals(times: DataFrame, external: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Long form ``(ts, source, value)`` by interval lookup, for externals with few releases.
-
-    Intervals are spread over the days they cover, which turns the range condition into an
-    equality on the day; no pair outside one day is ever formed. The span of the grid (two
-    dates) is read first, to close the last interval of each source.
-    """
-    grid = times.select(spec.ts).distinct().withColumn("_day", F.to_date(spec.ts))
-    begin, end = grid.agg(F.min("_day"), F.max("_day")).first()
-    days = (
-        release_intervals(external)
-        .withColumn("_from", F.greatest(F.to_date("valid_from"), F.lit(begin)))
-        .withColumn("_to", F.least(F.coalesce(F.to_date("valid_to"), F.lit(end)), F.lit(end)))
-        .where(F.col("_from") <= F.col("_to"))
-        .withColumn("_day", F.explode(F.sequence("_from", "_to")))
-        .drop("_from", "_to")
-    )
-    inside: Column = (F.col("valid_from") <= F.col(spec.ts)) & (
-        F.col("valid_to").isNull() | (F.col(spec.ts) < F.col("valid_to"))
-    )
-    return grid.join(days, "_day").where(inside).select(spec.ts, "source", "value")
+    """Long form ``(ts, source, value)``: what was valid at every distinct time."""
+    facts = release_intervals(external)
+    return interval_join(times, facts, spec.ts, "valid_from", "valid_to", ["source", "value"])

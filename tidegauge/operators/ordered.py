@@ -7,12 +7,14 @@ partition, and add the totals of the earlier ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import materialise
+from tidegauge.session import materialise, ship_package
 
 _PART = "_part"
 
@@ -53,6 +55,22 @@ def running_totals(
     )
 
 
+def following(df: DataFrame, keys: Sequence[str], order: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Add the next larger ``order`` value of the same keys as ``name`` (NULL for the last).
+
+    ``df`` must hold one row per (keys, order). A partition takes the value for its last row
+    from the first row of the next partition that has the key.
+    """
+    keys = list(keys)
+    ranged = df.repartitionByRange(partitions, *keys, order) if partitions else df.repartitionByRange(*keys, order)
+    parts = materialise(ranged.withColumn(_PART, F.spark_partition_id()))
+    heads = parts.groupBy(*keys, _PART).agg(F.min(order).alias("_head"))
+    ahead = heads.select(*keys, _PART, F.lead("_head").over(Window.partitionBy(*keys).orderBy(_PART)).alias("_ahead"))
+    inside = Window.partitionBy(*keys, _PART).orderBy(order)
+    local = parts.withColumn("_inside", F.lead(order).over(inside))
+    return local.join(ahead, [*keys, _PART]).withColumn(name, F.coalesce("_inside", "_ahead")).drop(_PART, "_inside", "_ahead")
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct non-null values with their count ``n``, the count before them and in total.
 
@@ -90,6 +108,95 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     )
 
 
+#: Bits found per pass, and the most order values that passes over the rows look for at once.
+DIGIT, TARGETS = 8, 4096
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; -0.0 and 0.0 are one value."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def from_ordered_bits(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return float(np.uint64(raw).view(np.float64))
+
+
+def wide_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], targets: int = TARGETS) -> DataFrame:
+    """``(keys, feature, p, q)`` of many columns with linear interpolation, exact, without a shuffle of the values.
+
+    The order value at a rank is found bit by bit: a pass counts, for every wanted value of
+    every group and column at once, the next ``DIGIT`` bits of the rows that share the bits
+    known so far, and the counts tell which bits come next. Only these counters are shuffled.
+    ``df`` is read once a pass, so hand in a stored or materialised frame. Up to ``targets``
+    values at a time are looked for, which bounds the counters; a table with more groups is
+    sorted by value instead (``exact_quantiles``). NULLs do not count; a column without a value
+    in a group has no row.
+    """
+    keys, columns = list(keys), list(columns)
+    spark = df.sparkSession
+    most = max(1, targets // (len(probs) * 2 * len(columns)))
+    group = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
+    sizes = df.groupBy(*keys).agg(*[F.count(c).alias(f"_n_{i}") for i, c in enumerate(columns)]).withColumn("_g", group)
+    held = sizes.limit(most + 1).collect()
+    if len(held) > most or len({r["_g"] for r in held}) < len(held):
+        return exact_quantiles(to_long(df, keys, columns), [*keys, "feature"], "value", probs)
+    # bits known so far and rank among the rows that share them, per (group, column, rank)
+    state = {}
+    for r in held:
+        for i in range(len(columns)):
+            last = r[f"_n_{i}"] - 1
+            for p in probs if last >= 0 else ():
+                for rank in (int(np.floor(p * last)), int(np.ceil(p * last))):
+                    state[r["_g"], i, rank] = (0, rank)
+    rows = df.select(group.alias("_g"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    ship_package(spark)
+    schema = pa.schema([("node", pa.int32()), ("digit", pa.int32()), ("n", pa.int64())])
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        nodes = sorted({(i, g, known) for (g, i, _), (known, _) in state.items()})
+        place = {node: k for k, node in enumerate(nodes)}
+
+        def count(batches: Iterator[pa.RecordBatch], nodes=nodes, shift=shift) -> Iterator[pa.RecordBatch]:
+            totals = np.zeros(len(nodes) << DIGIT, dtype=np.int64)
+            by_column: dict[int, list[tuple[int, int, int]]] = {}
+            for k, (i, g, known) in enumerate(nodes):
+                by_column.setdefault(i, []).append((g, known, k))
+            for batch in batches:
+                groups = batch.column("_g").to_numpy()
+                of_group = {g: groups == g for g in {g for _, g, _ in nodes}}
+                for i, wanted in by_column.items():
+                    column = batch.column(f"_{i}")
+                    there = column.is_valid().to_numpy(zero_copy_only=False)
+                    bits = ordered_bits(column.fill_null(0.0).to_numpy(zero_copy_only=False))
+                    head = bits >> np.uint64(shift + DIGIT) if shift + DIGIT < 64 else np.zeros(len(bits), dtype=np.uint64)
+                    digit = ((bits >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                    for g, known, k in wanted:
+                        same = digit[there & of_group[g] & (head == np.uint64(known))]
+                        totals[k << DIGIT : (k + 1) << DIGIT] += np.bincount(same, minlength=1 << DIGIT)
+            at = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> DIGIT, pa.int32()), pa.array(at & ((1 << DIGIT) - 1), pa.int32()), pa.array(totals[at])], schema=schema)
+
+        counts = np.zeros((len(nodes), 1 << DIGIT), dtype=np.int64)
+        for r in rows.mapInArrow(count, "node int, digit int, n long").groupBy("node", "digit").agg(F.sum("n").alias("n")).collect():
+            counts[r.node, r.digit] = r.n
+        upto = counts.cumsum(axis=1)
+        for (g, i, rank), (known, left) in state.items():
+            line = upto[place[i, g, known]]
+            digit = int(np.searchsorted(line, left, side="right"))
+            state[g, i, rank] = ((known << DIGIT) | digit, left - (int(line[digit - 1]) if digit else 0))
+    out = []
+    for r in held:
+        for i, c in enumerate(columns):
+            last = r[f"_n_{i}"] - 1
+            for p in probs if last >= 0 else ():
+                lo, hi = int(np.floor(p * last)), int(np.ceil(p * last))
+                low, high = (from_ordered_bits(state[r["_g"], i, k][0]) for k in (lo, hi))
+                out.append((*[r[k] for k in keys], c, float(p), low + (high - low) * (p * last - lo)))
+    key_types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return spark.createDataFrame(out, f"{key_types}feature string, p double, q double")
+
+
 def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """One row per (row, column): ``keys``, the column name and its value as double."""
     return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.ordered import exact_quantiles, to_long
+from tidegauge.operators.ordered import wide_quantiles
+from tidegauge.session import materialise
 
 
 def _require(df: DataFrame, columns: Sequence[str]) -> None:
@@ -69,10 +70,8 @@ def _added(stats: DataFrame, keys: Sequence[str]) -> list[str]:
 def train_medians(train: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """``(keys, feature, median)``, exact."""
     _require(train, features)
-    long = to_long(train, keys, features)
-    return exact_quantiles(long, [*keys, "feature"], "value", [0.5]).select(
-        *keys, "feature", F.col("q").alias("median")
-    )
+    stored = materialise(train.select(*keys, *features))
+    return wide_quantiles(stored, keys, features, [0.5]).select(*keys, "feature", F.col("q").alias("median"))
 
 
 def impute(df: DataFrame, medians: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
