@@ -22,9 +22,11 @@ from tidegauge.operators import scaling as sc
 from tidegauge.operators import sequences as sq
 from tidegauge.operators import splits as sp
 from tidegauge.operators import validate as va
-from tidegauge.operators.asof import align_grid, align_intervals, align_sources
+from tidegauge.operators.asof import align_grid, align_intervals, align_sources, asof_keyed
 from tidegauge.operators.blocks import ROW, ROWS, Blocked, index_rows
 from tidegauge.operators.ewm import Ewm, ewm_means
+from tidegauge.operators.intervals import interval_join
+from tidegauge.operators.ordered import wide_quantiles
 from tidegauge.plans import testbed as tb
 from tidegauge.plans.audit import leakage_audit, target_audit
 from tidegauge.plans.features import FeatureConfig, aligned_bars, feature_matrix, feature_names
@@ -34,8 +36,15 @@ from tidegauge.sources.readers import keywords_long
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: finite-frame features of the dataset and model queries
-LIGHT = ("logret_1", "logret_4", "rv_24", "zscore_24", "roc_10", "stoch_k")
+#: columns of the feature table, the inputs of the dataset and model queries
+FEATURES = tuple(
+    sorted(
+        (
+            *ta.TECHNICAL, *macro_names(["dxy", "us10y_yield", "vix", "order_flow"]),
+            "fear_greed_level", "fear_greed_ma24_to_level", "fear_greed_z168", *CALENDAR,
+        )
+    )
+)
 H = 24
 
 
@@ -107,6 +116,34 @@ def asof_interval(spark, d):
     return align_intervals(tb.stored_daily(spark, d).select("ts"), tb.external(spark, d), tb.DAILY)
 
 
+def _last_purchase(spark, d, user):
+    events = tb.table(spark, d, "events").withColumn("user_key", user)
+    bought = events.where("event_type = 'purchase'")
+    bought = bought.select("user_key", F.col("ts").alias("bought_at"), F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"))
+    other = events.where("event_type <> 'purchase'").select("event_id", "user_key", "ts")
+    return asof_keyed(other, bought, ["user_key"], "ts", "bought_at", ["purchase_id", "paid"])
+
+
+@register
+def asof_keyed_users(spark, d):
+    """Every other event with its user's latest purchase before it."""
+    return _last_purchase(spark, d, F.col("user_id"))
+
+
+@register
+def asof_keyed_hot(spark, d):
+    """The same with a third of all users under one key."""
+    return _last_purchase(spark, d, F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+
+
+@register
+def interval_activity(spark, d):
+    """Users between their first and last event at every hour of the bars."""
+    spans = tb.table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    pairs = interval_join(tb.hourly_bars(spark, d).select("ts"), spans, "ts", "first_ts", "last_ts", ["user_id"])
+    return pairs.groupBy("ts").agg(F.count(F.lit(1)).alias("n_active"), F.sum("user_id").alias("id_sum"))
+
+
 @register
 def align_fill_rate(spark, d):
     aligned = align_sources(tb.stored_daily(spark, d).select("symbol", "ts"), tb.external(spark, d), tb.SOURCES, tb.DAILY)
@@ -406,23 +443,17 @@ def series_summary(spark, d):
     return rounded(pf.series_summary(tb.stored_hourly(spark, d), tb.HOURLY), 6, "span_years", "median_return_pct")
 
 
-def _light(spark, d):
-    """Indexed daily rows with a few finite-frame features and both targets, stored once."""
-    b = Blocked.of(tb.daily_index(spark, d), tb.DAILY, back=30, ahead=H)
-    b = b.run(
-        [*ta.log_returns(b, (1, 4)), {"rv_24": b.std("logret_1", 24)}],
-        ta.close_zscore(b, (24,)),
-        ta.rate_of_change(b),
-        ta.stochastic(b),
-        target_stages(b, H),
-    )
-    return materialise(b.home().select("symbol", "ts", ROW, ROWS, "close", *LIGHT, "y_reg_h24", "y_clf_h24"))
+def _feature_rows(spark, d):
+    """The feature table at its shown precision, indexed and stored once."""
+    table = materialise(feature_matrix_full(spark, d))
+    rows = table.select("symbol", "ts", "close", *FEATURES, "y_reg_h24", "y_clf_h24")
+    return materialise(index_rows(rows, tb.DAILY))
 
 
 @register
 def null_rates(spark, d):
-    rows = _light(spark, d)
-    return rounded(pf.null_rates(rows, [*LIGHT, "y_reg_h24", "y_clf_h24"]), 9, "rate")
+    rows = _feature_rows(spark, d)
+    return rounded(pf.null_rates(rows, [*FEATURES, "y_reg_h24", "y_clf_h24"]), 9, "rate")
 
 
 @register
@@ -457,21 +488,28 @@ def gap_calendar(spark, d):
     return pf.gap_calendar(tb.stored_hourly(spark, d), tb.HOURLY)
 
 
+@register
+def feature_quartiles(spark, d):
+    """Quartiles of every feature of every series."""
+    out = wide_quantiles(_feature_rows(spark, d), ["symbol"], FEATURES, [0.25, 0.5, 0.75])
+    return rounded(out, 7, "q")
+
+
 @register
 def feature_corr(spark, d):
-    return rounded(pf.feature_correlation(_light(spark, d), LIGHT), 8, "corr")
+    return rounded(pf.feature_correlation(_feature_rows(spark, d), FEATURES), 6, "corr")
 
 
 @register
 def target_corr(spark, d):
-    return rounded(pf.target_correlation(_light(spark, d), LIGHT, "y_reg_h24"), 8, "corr")
+    return rounded(pf.target_correlation(_feature_rows(spark, d), FEATURES, "y_reg_h24"), 6, "corr")
 
 
 @register
 def binned_mi(spark, d):
-    rows = _light(spark, d)
-    reg = pf.binned_information(rows, LIGHT, "y_reg_h24", keys=["symbol"]).withColumn("target", F.lit("y_reg_h24"))
-    clf = pf.binned_information(rows, LIGHT, "y_clf_h24", keys=["symbol"]).withColumn("target", F.lit("y_clf_h24"))
+    rows = _feature_rows(spark, d)
+    reg = pf.binned_information(rows, FEATURES, "y_reg_h24", keys=["symbol"]).withColumn("target", F.lit("y_reg_h24"))
+    clf = pf.binned_information(rows, FEATURES, "y_clf_h24", keys=["symbol"]).withColumn("target", F.lit("y_clf_h24"))
     return rounded(reg.unionByName(clf), 8, "mi")
 
 
@@ -510,35 +548,35 @@ def ts_cv_folds(spark, d):
     return sp.summarise_rows(sp.cv_folds(tb.daily_index(spark, d)), ["symbol", "fold", "train_rows", "role"])
 
 
-def _split_light(spark, d):
-    return sp.chronological_split(_light(spark, d))
+def _split_features(spark, d):
+    return sp.chronological_split(_feature_rows(spark, d))
 
 
 @register
 def scaler_fit(spark, d):
-    stats = sc.fit_scaler(_split_light(spark, d).where("split = 'train'"), LIGHT)
-    return rounded(stats, 7, "mean", "scale")
+    stats = sc.fit_scaler(_split_features(spark, d).where("split = 'train'"), FEATURES)
+    return rounded(stats, 5, "mean", "scale")
 
 
 def _scaled(spark, d, fill=None):
-    rows = _split_light(spark, d)
-    return sc.apply_scaler(rows, sc.fit_scaler(rows.where("split = 'train'"), LIGHT), LIGHT, fill=fill)
+    rows = _split_features(spark, d)
+    return sc.apply_scaler(rows, sc.fit_scaler(rows.where("split = 'train'"), FEATURES), FEATURES, fill=fill)
 
 
 @register
 def scaled_features(spark, d):
-    return _show(_scaled(spark, d, fill=0.0), 6, *LIGHT)
+    return _show(_scaled(spark, d, fill=0.0), 5, *FEATURES)
 
 
 @register
 def tabular_split(spark, d):
     rows = _scaled(spark, d).where(F.col("split").isNotNull())
-    return rounded(rows.select("symbol", "ts", "split", *LIGHT, "y_reg_h24", "y_clf_h24", "close"), 6, *LIGHT, "y_reg_h24")
+    return rounded(rows.select("symbol", "ts", "split", *FEATURES, "y_reg_h24", "y_clf_h24", "close"), 5, *FEATURES)
 
 
 def _windows(spark, d):
     rows = materialise(_scaled(spark, d, fill=0.0))
-    return sq.sequence_windows(rows, tb.DAILY, LIGHT, ["split", "y_reg_h24", "y_clf_h24"], "y_reg_h24", 168)
+    return sq.sequence_windows(rows, tb.DAILY, FEATURES, ["split", "y_reg_h24", "y_clf_h24"], "y_reg_h24", 168)
 
 
 def _digest(windows: DataFrame) -> DataFrame:
@@ -551,7 +589,7 @@ def _digest(windows: DataFrame) -> DataFrame:
         "ts",
         F.size("x").alias("steps"),
         F.round(F.aggregate(flat, F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"),
-        F.round(F.aggregate(F.transform("x", lambda x, i: row(x) * (i + 1)), F.lit(0.0), add), 1).alias("weighted"),
+        F.round(F.aggregate(F.transform("x", lambda x, i: row(x) * (i + 1)), F.lit(0.0), add), 0).alias("weighted"),
         F.col("x")[0][0].cast("double").alias("oldest"),
         F.element_at(F.element_at("x", -1), -1).cast("double").alias("newest"),
         "split",
@@ -561,7 +599,7 @@ def _digest(windows: DataFrame) -> DataFrame:
 
 @register
 def sequences(spark, d):
-    return rounded(rounded(_digest(_windows(spark, d)).drop("split"), 3, "total", "oldest", "newest"), 1, "weighted")
+    return rounded(rounded(_digest(_windows(spark, d)).drop("split"), 3, "total", "oldest", "newest"), 0, "weighted")
 
 
 @register
@@ -586,13 +624,13 @@ def context_windows(spark, d):
 
 @register
 def train_medians(spark, d):
-    return rounded(sc.train_medians(_split_light(spark, d).where("split = 'train'"), LIGHT), 7, "median")
+    return rounded(sc.train_medians(_split_features(spark, d).where("split = 'train'"), FEATURES), 7, "median")
 
 
 @register
 def imputed_features(spark, d):
-    rows = _split_light(spark, d)
-    return _show(sc.impute(rows, sc.train_medians(rows.where("split = 'train'"), LIGHT), LIGHT), 6, *LIGHT)
+    rows = _split_features(spark, d)
+    return _show(sc.impute(rows, sc.train_medians(rows.where("split = 'train'"), FEATURES), FEATURES), 6, *FEATURES)
 
 
 @register
@@ -801,17 +839,17 @@ def target_spot_check(spark, d):
 
 
 def _model_rows(spark, d):
-    return materialise(_split_light(spark, d))
+    return materialise(_split_features(spark, d))
 
 
 def _forest(task="regression", **params):
     target = "y_reg_h24" if task == "regression" else "y_clf_h24"
-    return RandomForest(LIGHT, target, task, params={"numTrees": 12, "maxDepth": 5, **params})
+    return RandomForest(FEATURES, target, task, params={"numTrees": 12, "maxDepth": 5, **params})
 
 
 def _boosted(task="regression", **params):
     target = "y_reg_h24" if task == "regression" else "y_clf_h24"
-    return BoostedTrees(LIGHT, target, task, params={"maxIter": 8, "maxDepth": 3, **params})
+    return BoostedTrees(FEATURES, target, task, params={"maxIter": 8, "maxDepth": 3, **params})
 
 
 @register
@@ -856,5 +894,5 @@ def train_evaluate(spark, d):
 
 @register
 def learning_curve_table(spark, d):
-    rows = _light(spark, d)
+    rows = _feature_rows(spark, d)
     return learning_curve(lambda: _forest(numTrees=4, maxDepth=3), rows, splits=2, shares=(0.5, 1.0))

@@ -10,7 +10,6 @@ from tidegauge.plans.testbed import FREQUENCY, HORIZON, LAG_OVERRIDE, SOURCE_OF,
 from tidegauge.sources.readers import RELEASE_LAGS
 
 H = 24
-LIGHT = ("logret_1", "logret_4", "rv_24", "zscore_24", "roc_10", "stoch_k")
 
 ORDER = "OVER (PARTITION BY symbol ORDER BY ts)"
 
@@ -61,6 +60,7 @@ def rnd(x: str, digits: int, name: str | None = None) -> str:
 
 def chain(*steps: str, recursive: bool = False) -> str:
     *ctes, last = steps
+    recursive = recursive or any(step.startswith("feat AS") for step in ctes)
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(ctes) + "\n" + last
 
@@ -147,6 +147,15 @@ ORACLES["asof_interval"] = chain(
     """SELECT p.ts, p.source, e.value FROM pairs p ASOF JOIN external e
        ON p.source = e.source AND p.ts >= e.release_date""",
 )
+for _name, _key in (("asof_keyed_users", "user_id"), ("asof_keyed_hot", "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END")):
+    ORACLES[_name] = f"""WITH e AS (SELECT *, {_key} AS user_key FROM events)
+SELECT l.event_id, l.user_key, l.ts, r.event_id AS purchase_id, r."value" AS paid FROM (SELECT * FROM e WHERE event_type <> 'purchase') l
+ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') r ON l.user_key = r.user_key AND l.ts >= r.ts"""
+ORACLES["interval_activity"] = chain(
+    "hours AS (SELECT DISTINCT date_trunc('hour', ts)::TIMESTAMP AS ts FROM events WHERE \"value\" IS NOT NULL)",
+    "spans AS (SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1)",
+    "SELECT ts, count(*)::BIGINT AS n_active, sum(user_id)::BIGINT AS id_sum FROM hours JOIN spans ON a <= ts AND ts < b GROUP BY 1",
+)
 ORACLES["align_fill_rate"] = chain(
     DAILY,
     EXTERNAL,
@@ -440,7 +449,7 @@ ORACLES["target_rows"] = chain(
     f"SELECT symbol, ts, {rnd('y_reg', 9, 'y_reg_h24')}, y_clf AS y_clf_h24 FROM tg WHERE y_reg IS NOT NULL AND y_clf IS NOT NULL",
 )
 ORACLES["warmup_cut"] = chain(DAILY, INDEXED, "SELECT symbol, ts, close FROM idx WHERE rn >= 200")
-ORACLES["feature_matrix_full"] = chain(
+MATRIX = (
     DAILY,
     EXTERNAL,
     asof_all("daily"),
@@ -455,8 +464,16 @@ ORACLES["feature_matrix_full"] = chain(
        {rnd('g.y_reg', 6, 'y_reg_h24')}, g.y_clf AS y_clf_h24, {rnd('g.thr', 6, 'y_clf_threshold')}
      FROM tech t JOIN lagged l ON t.symbol = l.symbol AND t.ts = l.ts JOIN tg g ON t.symbol = g.symbol AND t.ts = g.ts
      WHERE t.rn >= 200""",
-    recursive=True,
 )
+ORACLES["feature_matrix_full"] = chain(*MATRIX, recursive=True)
+FEATURES = tuple(
+    sorted(
+        (
+            *TECHNICAL, *MACRO, "fear_greed_level", "fear_greed_ma24_to_level", "fear_greed_z168",
+            *(f"{name}_{f}" for name in ("hour", "dow", "month") for f in ("sin", "cos")), "is_session_asia", "is_session_eu", "is_session_us",
+        )
+    )
+)
 
 # --- validation -------------------------------------------------------------------------------------
 
@@ -534,12 +551,11 @@ ORACLES["series_summary"] = chain(
        min(low) AS price_min, max(high) AS price_max, count(DISTINCT ts::DATE)::BIGINT AS n_unique_days,
        {rnd('quantile_cont(m, 0.5) * 100', 6, 'median_return_pct')} FROM p GROUP BY 1""",
 )
-LIGHT_ROWS = [
-    *TARGETS,
-    f"""l1 AS (SELECT *, {lr(1)} AS logret_1, {lr(4)} AS logret_4, {zscore('close', 24)} AS zscore_24,
-        ({div('close', lag('close', 10))} - 1) * 100 AS roc_10,
-        {div(f"100.0 * (close - ({low('low', 14)}))", f"(({high('high', 14)}) - ({low('low', 14)}))")} AS stoch_k FROM tg)""",
-    f"light AS MATERIALIZED (SELECT *, {std('logret_1', 24)} AS rv_24, y_reg AS y_reg_h24, y_clf AS y_clf_h24 FROM l1)",
+FEATURE_ROWS = [
+    *MATRIX[:-1],
+    f"feat0 AS MATERIALIZED ({MATRIX[-1]})",
+    """feat AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1)::BIGINT AS rn,
+        (count(*) OVER (PARTITION BY symbol))::BIGINT AS n_rows FROM feat0)""",
 ]
 
 
@@ -559,12 +575,12 @@ def splits(base: str, name: str = "spl", embargo: int = 24) -> str:
         WHEN rn >= ve AND rn < xe THEN rn - ve END AS split_row FROM {name}0)"""
 
 
-SPLIT_LIGHT = [*LIGHT_ROWS, splits("light")]
+SPLIT_FEATURES = [*FEATURE_ROWS, splits("feat")]
 ORACLES["null_rates"] = chain(
-    *LIGHT_ROWS,
+    *FEATURE_ROWS,
     "r AS ("
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", avg(({c} IS NULL)::INTEGER) AS rate FROM light" for c in (*LIGHT, "y_reg_h24", "y_clf_h24")
+        f"SELECT '{c}' AS \"column\", avg(({c} IS NULL)::INTEGER) AS rate FROM feat" for c in (*FEATURES, "y_reg_h24", "y_clf_h24")
     )
     + ")",
     f'SELECT "column", {rnd("rate", 9)} FROM r ORDER BY r.rate DESC, 1 LIMIT 8',
@@ -593,34 +609,39 @@ ORACLES["hourly_volatility"] = chain(
     f"r AS (SELECT symbol, ts, {lr(1)} AS r FROM hourly)",
     f"SELECT symbol, hour(ts)::INTEGER AS hour, {rnd('avg(abs(r)) * 100', 7, 'mean_abs_pct')} FROM r WHERE r IS NOT NULL GROUP BY 1, 2",
 )
+ORACLES["feature_quartiles"] = chain(
+    *FEATURE_ROWS,
+    "qs AS (" + " UNION ALL ".join(f"SELECT symbol, '{c}' AS feature, unnest([0.25, 0.5, 0.75])::DOUBLE AS p, unnest(quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75])) AS q FROM feat GROUP BY 1" for c in FEATURES) + ")",
+    f"SELECT symbol, feature, p, {rnd('q', 7)} FROM qs WHERE q IS NOT NULL",
+)
 ORACLES["feature_corr"] = chain(
-    *LIGHT_ROWS,
+    *FEATURE_ROWS,
     " UNION ALL ".join(
-        f"SELECT symbol, '{a}' AS \"left\", '{b}' AS \"right\", {rnd(f'corr({a}, {b})', 8, 'corr')} FROM light GROUP BY 1"
-        for i, a in enumerate(LIGHT)
-        for b in LIGHT[i + 1 :]
+        f"SELECT symbol, '{a}' AS \"left\", '{b}' AS \"right\", {rnd(f'corr({a}, {b})', 6, 'corr')} FROM feat GROUP BY 1"
+        for i, a in enumerate(FEATURES)
+        for b in FEATURES[i + 1 :]
     ),
 )
 ORACLES["target_corr"] = chain(
-    *LIGHT_ROWS,
+    *FEATURE_ROWS,
     " UNION ALL ".join(
-        f"SELECT symbol, '{c}' AS feature, {rnd(f'corr({c}, y_reg_h24)', 8, 'corr')} FROM light GROUP BY 1" for c in LIGHT
+        f"SELECT symbol, '{c}' AS feature, {rnd(f'corr({c}, y_reg_h24)', 6, 'corr')} FROM feat GROUP BY 1" for c in FEATURES
     ),
 )
 
 
 def _information(target: str) -> list[str]:
     t = target.replace("_h24", "")
-    known = " AND ".join(f"{c} IS NOT NULL" for c in (*LIGHT, target))
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (*FEATURES, target))
     grid = "[" + ", ".join(f"{i / 10!r}::DOUBLE" for i in range(1, 10)) + "]"
     cells = " UNION ALL ".join(
         f"""SELECT k.symbol, '{c}' AS feature, len(list_filter(q.e_{c}, lambda e: e < k.{c})) AS bx,
         len(list_filter(q.e_y, lambda e: e < k.{target})) AS by_ FROM k_{t} k JOIN q_{t} q ON k.symbol = q.symbol"""
-        for c in LIGHT
+        for c in FEATURES
     )
-    edges = ", ".join(f"quantile_cont({c}, {grid}) AS e_{c}" for c in LIGHT)
+    edges = ", ".join(f"quantile_cont({c}, {grid}) AS e_{c}" for c in FEATURES)
     return [
-        f"k_{t} AS MATERIALIZED (SELECT * FROM light WHERE {known})",
+        f"k_{t} AS MATERIALIZED (SELECT * FROM feat WHERE {known})",
         f"q_{t} AS (SELECT symbol, {edges}, quantile_cont({target}, {grid}) AS e_y FROM k_{t} GROUP BY 1)",
         f"""j_{t} AS (SELECT symbol, feature, bx, by_, count(*)::DOUBLE AS n FROM ({cells}) GROUP BY 1, 2, 3, 4)""",
         f"""m_{t} AS (SELECT symbol, feature, n, sum(n) OVER (PARTITION BY symbol, feature, bx) AS nx,
@@ -630,7 +651,7 @@ def _information(target: str) -> list[str]:
 
 
 ORACLES["binned_mi"] = chain(
-    *LIGHT_ROWS,
+    *FEATURE_ROWS,
     *_information("y_reg_h24"),
     *_information("y_clf_h24"),
     f"SELECT symbol, feature, target, {rnd('mi', 8)} FROM (SELECT * FROM i_y_reg UNION ALL SELECT * FROM i_y_clf)",
@@ -701,41 +722,41 @@ ORACLES["ts_cv_folds"] = chain(
     f"{summary('symbol', 'fold', 'train_rows', 'role')} FROM cv WHERE role IS NOT NULL GROUP BY ALL",
 )
 ORACLES["scaler_fit"] = chain(
-    *SPLIT_LIGHT,
+    *SPLIT_FEATURES,
     " UNION ALL ".join(
-        f"""SELECT symbol, '{c}' AS feature, {rnd(f'avg({c})', 7, 'mean')},
-        {rnd(f'CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END', 7, 'scale')} FROM spl WHERE split = 'train' GROUP BY 1"""
-        for c in LIGHT
+        f"""SELECT symbol, '{c}' AS feature, {rnd(f'avg({c})', 5, 'mean')},
+        {rnd(f'CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END', 5, 'scale')} FROM spl WHERE split = 'train' GROUP BY 1"""
+        for c in FEATURES
     ),
 )
 SCALED = [
-    *SPLIT_LIGHT,
+    *SPLIT_FEATURES,
     "st AS (SELECT symbol, "
-    + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in LIGHT)
+    + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in FEATURES)
     + " FROM spl WHERE split = 'train' GROUP BY 1)",
     "scl AS MATERIALIZED (SELECT spl.symbol, ts, rn, split, close, y_reg_h24, y_clf_h24, "
-    + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in LIGHT)
+    + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in FEATURES)
     + " FROM spl JOIN st ON spl.symbol = st.symbol)",
 ]
-ORACLES["scaled_features"] = chain(*SCALED, "SELECT symbol, ts, " + ", ".join(rnd(f"coalesce({c}, 0)", 6, c) for c in LIGHT) + " FROM scl")
+ORACLES["scaled_features"] = chain(*SCALED, "SELECT symbol, ts, " + ", ".join(rnd(f"coalesce({c}, 0)", 5, c) for c in FEATURES) + " FROM scl")
 ORACLES["tabular_split"] = chain(
     *SCALED,
     "SELECT symbol, ts, split, "
-    + ", ".join(rnd(c, 6) for c in LIGHT)
-    + f", {rnd('y_reg_h24', 6)}, y_clf_h24, close FROM scl WHERE split IS NOT NULL",
+    + ", ".join(rnd(c, 5) for c in FEATURES)
+    + ", y_reg_h24, y_clf_h24, close FROM scl WHERE split IS NOT NULL",
 )
-_BY_FEATURE = " + ".join(f"{k + 1} * f_{c}::DOUBLE" for k, c in enumerate(LIGHT))
+_BY_FEATURE = " + ".join(f"{k + 1} * f_{c}::DOUBLE" for k, c in enumerate(FEATURES))
 WINDOWS = [
     *SCALED,
-    "sf AS (SELECT *, " + ", ".join(f"coalesce({c}, 0)::FLOAT AS f_{c}" for c in LIGHT) + " FROM scl)",
+    "sf AS (SELECT *, " + ", ".join(f"coalesce({c}, 0)::FLOAT AS f_{c}" for c in FEATURES) + " FROM scl)",
     f"""win AS (SELECT symbol, ts, rn, split, y_reg_h24, y_clf_h24, (count(*) {frame(168)})::INTEGER AS steps,
-        sum({' + '.join(f'f_{c}::DOUBLE' for c in LIGHT)}) {frame(168)} AS total,
+        sum({' + '.join(f'f_{c}::DOUBLE' for c in FEATURES)}) {frame(168)} AS total,
         sum(rn * ({_BY_FEATURE})) {frame(168)} - (rn - 168) * sum({_BY_FEATURE}) {frame(168)} AS weighted,
-        first_value(f_{LIGHT[0]}::DOUBLE) {frame(168)} AS oldest, f_{LIGHT[-1]}::DOUBLE AS newest FROM sf)""",
+        first_value(f_{FEATURES[0]}::DOUBLE) {frame(168)} AS oldest, f_{FEATURES[-1]}::DOUBLE AS newest FROM sf)""",
 ]
 ORACLES["sequences"] = chain(
     *WINDOWS,
-    f"""SELECT symbol, ts, steps, {rnd('total', 3)}, {rnd('weighted', 1)}, {rnd('oldest', 3)}, {rnd('newest', 3)}, y_clf_h24 FROM win
+    f"""SELECT symbol, ts, steps, {rnd('total', 3)}, {rnd('weighted', 0)}, {rnd('oldest', 3)}, {rnd('newest', 3)}, y_clf_h24 FROM win
         WHERE rn >= 167 AND y_reg_h24 IS NOT NULL""",
 )
 ORACLES["segment_windows"] = chain(
@@ -749,16 +770,16 @@ ORACLES["context_windows"] = over_idx(
     "close::FLOAT::DOUBLE AS newest",
 )
 ORACLES["train_medians"] = chain(
-    *SPLIT_LIGHT,
+    *SPLIT_FEATURES,
     " UNION ALL ".join(
         f"SELECT symbol, '{c}' AS feature, {rnd(f'quantile_cont({c}, 0.5)', 7, 'median')} FROM spl WHERE split = 'train' GROUP BY 1"
-        for c in LIGHT
+        for c in FEATURES
     ),
 )
 ORACLES["imputed_features"] = chain(
-    *SPLIT_LIGHT,
-    "md AS (SELECT symbol, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in LIGHT) + " FROM spl WHERE split = 'train' GROUP BY 1)",
-    "SELECT spl.symbol, ts, " + ", ".join(rnd(f"coalesce({c}, m_{c})", 6, c) for c in LIGHT) + " FROM spl JOIN md ON spl.symbol = md.symbol",
+    *SPLIT_FEATURES,
+    "md AS (SELECT symbol, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in FEATURES) + " FROM spl WHERE split = 'train' GROUP BY 1)",
+    "SELECT spl.symbol, ts, " + ", ".join(rnd(f"coalesce({c}, m_{c})", 6, c) for c in FEATURES) + " FROM spl JOIN md ON spl.symbol = md.symbol",
 )
 ORACLES["label_recode"] = chain(
     *TARGETS, "SELECT symbol, ts, (y_clf + 1)::INTEGER AS class_index, y_clf AS label FROM tg WHERE y_clf IS NOT NULL"
