@@ -329,7 +329,9 @@ def test_queries_equal_their_sql(spark, name):
     want, got = con.sql(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     columns = sorted(want.columns)
-    as_rows = lambda x: sorted(map(tuple, x[columns].astype(str).values.tolist()))
+    # the two clients read a nullable integer column as different types
+    gaps = {c: "float64" for c in columns if want[c].isna().any() and want[c].dtype.kind in "iuf"}
+    as_rows = lambda x: sorted(map(tuple, x[columns].astype(gaps).astype(str).values.tolist()))
     assert as_rows(got) == as_rows(want)
 
 
