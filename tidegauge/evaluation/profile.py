@@ -14,6 +14,7 @@ from tidegauge.evaluation.diagnostics import histogram
 from tidegauge.functions.stats import pearson, sample_kurtosis, sample_skewness
 from tidegauge.functions.technical import log_returns
 from tidegauge.operators.blocks import Blocked, SeriesSpec, index_rows
+from tidegauge.operators.lagsums import SUMS, correlation_of_sums, lag_products
 from tidegauge.operators.ordered import exact_quantiles, to_long, wide_quantiles
 from tidegauge.operators.validate import gap_counts, weekend
 from tidegauge.session import materialise
@@ -107,14 +108,11 @@ def hourly_volatility(bars: DataFrame, spec: SeriesSpec) -> DataFrame:
 def autocorrelation(bars: DataFrame, spec: SeriesSpec, lags: int = 49) -> DataFrame:
     """Autocorrelation of returns and squared returns at lags ``1..lags``."""
     b = Blocked.of(index_rows(bars.select(*spec.keys, spec.ts, "close"), spec), spec, back=lags + 1)
-    shifted = F.array(*[F.struct(F.lit(k).alias("lag"), b.lag("logret_1", k).alias("before")) for k in range(1, lags + 1)])
-    pairs = b.run(log_returns(b), [{}, {}, {"_pairs": shifted}]).home()
-    pairs = pairs.select(*spec.keys, F.col("logret_1").alias("r"), F.inline("_pairs"))
-    known = pairs.where(F.col("r").isNotNull() & F.col("before").isNotNull())
-    return known.groupBy(*spec.keys, "lag").agg(
-        pearson("r", "before").alias("acf_r"),
-        pearson(F.col("r") * F.col("r"), F.col("before") * F.col("before")).alias("acf_r2"),
-    )
+    b = b.run(log_returns(b), [{}, {"squared": F.col("logret_1") * F.col("logret_1")}])
+    sums = lag_products(b, ["logret_1", "squared"], lags).groupBy(*spec.keys, "column", "lag").agg(*[F.sum(s).alias(s) for s in SUMS])
+    acf = sums.where("n > 0").withColumn("acf", correlation_of_sums())
+    pick = lambda column: F.max(F.when(F.col("column") == column, F.col("acf")))
+    return acf.groupBy(*spec.keys, "lag").agg(pick("logret_1").alias("acf_r"), pick("squared").alias("acf_r2"))
 
 
 def gap_calendar(bars: DataFrame, spec: SeriesSpec, top: int = 15) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.blocks import Blocked, SeriesSpec, Stages
+from tidegauge.operators.lagsums import Ranges, range_sums, segment_sums
 from tidegauge.session import ship_package
 
 # fixed values: candidate orders
@@ -47,16 +48,29 @@ def lagged_returns(b: Blocked, lags: int, close: str = "close") -> Stages:
     ]
 
 
+def ar_products(lags: int = max(ORDERS)) -> dict[str, Column]:
+    """Sums of the cross-products of ``(1, r, r_lag1 ..)``, upper triangle."""
+    terms = ["1", *[f"_r{k}" for k in range(lags + 1)]]
+    return {
+        f"s_{i}_{j}": F.sum(F.expr(f"cast({left} as double) * {terms[j]}"))
+        for i, left in enumerate(terms)
+        for j in range(i, len(terms))
+    }
+
+
+def _all_known(rows: DataFrame, lags: int) -> DataFrame:
+    return rows.dropna(subset=[f"_r{k}" for k in range(lags + 1)])
+
+
 def ar_moments(rows: DataFrame, keys: Sequence[str], lags: int = max(ORDERS)) -> DataFrame:
     """Cross-product sums of ``(1, r, r_lag1 ..)`` over rows where all are known: one aggregate."""
-    terms = ["1", *[f"_r{k}" for k in range(lags + 1)]]
-    known = rows.dropna(subset=[f"_r{k}" for k in range(lags + 1)])
-    sums = []
-    for i, left in enumerate(terms):
-        for j in range(i, len(terms)):
-            product = F.expr(f"cast({left} as double) * {terms[j]}")
-            sums.append(F.sum(product).alias(f"s_{i}_{j}"))
-    return known.groupBy(*keys).agg(*sums)
+    return _all_known(rows, lags).groupBy(*keys).agg(*[c.alias(name) for name, c in ar_products(lags).items()])
+
+
+def ar_range_moments(rows: DataFrame, spec: SeriesSpec, ranges: Ranges, label: str = "fold", lags: int = max(ORDERS)) -> DataFrame:
+    """``ar_moments`` of every row range of every series: the rows are read once, however many ranges there are."""
+    products = ar_products(lags)
+    return range_sums(segment_sums(_all_known(rows, lags), spec, products, ranges), spec, list(products), ranges, label)
 
 
 def _weights(phi: np.ndarray, intercept: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +175,18 @@ def forecast_label(y: Column, threshold: Column) -> Column:
     )
 
 
-def attach_forecast(indexed_splits: DataFrame, coefs: DataFrame, spec: SeriesSpec, horizon: int = 24) -> DataFrame:
+def attach_forecast(
+    indexed_splits: DataFrame,
+    coefs: DataFrame,
+    spec: SeriesSpec,
+    horizon: int = 24,
+    lags: int = max(ORDERS),
+    vol_window: int = 24,
+    factor: float = 0.5,
+) -> DataFrame:
     """Forecast and label of every split row from fitted coefficients."""
-    lags = max(ORDERS)
-    b = Blocked.of(indexed_splits, spec, back=max(lags, 26))
-    rows = b.run(split_returns(b, lags), forecast_threshold(b, horizon=horizon)).home()
+    b = Blocked.of(indexed_splits, spec, back=max(lags, vol_window + 2))
+    rows = b.run(split_returns(b, lags), forecast_threshold(b, vol_window, horizon, factor)).home()
     rows = rows.join(coefs.select(*spec.keys, "a", "b"), list(spec.keys), "left")
     rows = rows.where(F.col("split").isNotNull()).withColumn("y_pred", ar_forecast(lags=lags))
     return rows.withColumn("y_label", forecast_label(F.col("y_pred"), F.col("f_threshold")))

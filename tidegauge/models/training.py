@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 from typing import Any
@@ -10,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.evaluation.metrics import CLASSIFICATION, REGRESSION, classification_metrics, regression_metrics
-from tidegauge.operators.splits import cv_folds
+from tidegauge.models.base import Model, load_model
+from tidegauge.operators.splits import ORDER, cv_folds
 from tidegauge.session import materialise
 
+RUN_SCHEMA = (
+    "run_id string, model string, task string, target string, params map<string,string>, n_features int, "
+    "n_train long, n_val long, n_test long, fit_seconds double, artifacts map<string,string>"
+)
 METRIC_COLUMNS = ("run_id", "model", "task", "split", "metric", "value")
 
 
@@ -23,7 +29,7 @@ def split_metrics(preds: DataFrame, task: str) -> DataFrame:
     return wide.unpivot(["split"], list(names), "metric", "value")
 
 
-def evaluate(model: Any, df: DataFrame, keep: Sequence[str] = ("symbol", "ts")) -> tuple[DataFrame, DataFrame]:
+def evaluate(model: Model, df: DataFrame, keep: Sequence[str] = ("symbol", "ts")) -> tuple[DataFrame, DataFrame]:
     """Predictions of a fitted model on all split rows, and the metrics of each split."""
     rows = model.predict(df.where(F.col("split").isNotNull()))
     preds = materialise(
@@ -32,29 +38,69 @@ def evaluate(model: Any, df: DataFrame, keep: Sequence[str] = ("symbol", "ts"))
     return preds, split_metrics(preds, model.task)
 
 
-def record(path: str, model: Any, preds: DataFrame, metrics: DataFrame, extra: dict[str, Any] | None = None) -> str:
-    """Append a run to the ledger: ``runs``, ``metrics`` and ``predictions`` tables under ``path``."""
+def split_counts(preds: DataFrame) -> dict[str, int]:
+    """Rows of each split."""
+    counts = {r["split"]: r["count"] for r in preds.groupBy("split").count().collect()}  # at most three rows
+    return {name: counts.get(name, 0) for name in ORDER}
+
+
+def record(
+    path: str, model: Model, preds: DataFrame, metrics: DataFrame, extra: dict[str, Any] | None = None, fit_seconds: float | None = None
+) -> str:
+    """Add a run to the ledger under ``path``: its model, predictions and metrics, then its row in ``runs``.
+
+    The row of ``runs`` is written last and in one file. It is what makes a run count:
+    readers leave out rows of runs without one, such as those of a job that died half way.
+    """
     run, spark = uuid.uuid4().hex, preds.sparkSession
     tags = [F.lit(run).alias("run_id"), F.lit(model.name).alias("model"), F.lit(model.task).alias("task")]
+    paths = {"model": f"{path}/models/{run}", "metrics": f"{path}/metrics", "predictions": f"{path}/predictions"}
+    model.save(paths["model"])
+    metrics.select(*tags, "split", "metric", "value").write.mode("append").parquet(paths["metrics"])
+    preds.select(*tags, "*").write.mode("append").partitionBy("model", "task", "split").parquet(paths["predictions"])
     params = {**{k: str(v) for k, v in model.params.items()}, **{k: str(v) for k, v in (extra or {}).items()}}
-    runs = spark.createDataFrame([(run, model.name, model.task, params)], "run_id string, model string, task string, params map<string,string>")
-    runs.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/runs")
-    metrics.select(*tags, "split", "metric", "value").write.mode("append").parquet(f"{path}/metrics")
-    preds.select(*tags, "*").write.mode("append").partitionBy("model", "task", "split").parquet(f"{path}/predictions")
+    sizes = split_counts(preds)
+    row = (run, model.name, model.task, model.target, params, len(model.features), *[sizes[s] for s in ORDER], fit_seconds, paths)
+    runs = spark.createDataFrame([row], RUN_SCHEMA).withColumn("logged_at", F.current_timestamp())
+    runs.coalesce(1).write.mode("append").parquet(f"{path}/runs")
     return run
 
 
-def train_and_evaluate(model: Any, df: DataFrame, ledger: str | None = None, extra: dict[str, Any] | None = None) -> DataFrame:
+def train_and_evaluate(model: Model, df: DataFrame, ledger: str | None = None, extra: dict[str, Any] | None = None) -> DataFrame:
     """Fit, predict, measure; store the run and the model if a ledger folder is given."""
-    preds, metrics = evaluate(model.fit(df), df)
+    start = time.perf_counter()
+    model.fit(df)
+    seconds = time.perf_counter() - start
+    preds, metrics = evaluate(model, df)
     if ledger is not None:
-        run = record(ledger, model, preds, metrics, extra)
-        model.save(f"{ledger}/models/{run}")
+        record(ledger, model, preds, metrics, extra, seconds)
     return metrics.select(F.lit(model.name).alias("model"), F.lit(model.task).alias("task"), "*")
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/runs")
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of all finished runs."""
+    return spark.read.parquet(f"{path}/predictions").join(read_runs(spark, path).select("run_id"), "run_id", "left_semi")
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/metrics").select(*METRIC_COLUMNS)
+    """Metrics of all finished runs."""
+    stored = spark.read.parquet(f"{path}/metrics").select(*METRIC_COLUMNS)
+    return stored.join(read_runs(spark, path).select("run_id"), "run_id", "left_semi")
+
+
+def best_run(spark: SparkSession, path: str, metric: str, split: str = "val", task: str = "regression", largest: bool = False) -> Model:
+    """The stored model of the finished run with the best value of a metric, the earliest on ties."""
+    values = read_metrics(spark, path).where((F.col("metric") == metric) & (F.col("split") == split) & (F.col("task") == task))
+    order = F.col("value").desc_nulls_last() if largest else F.col("value").asc_nulls_last()
+    found = values.join(read_runs(spark, path).select("run_id", "logged_at", "artifacts"), "run_id")
+    row = found.orderBy(order, "logged_at", "run_id").first()
+    if row is None:
+        raise ValueError(f"no finished {task} run with {metric} on {split} under {path}")
+    return load_model(spark, row["artifacts"]["model"])
 
 
 def learning_curve(build: Any, df: DataFrame, splits: int = 3, shares: Sequence[float] = (0.2, 0.36, 0.52, 0.68, 0.84, 1.0)) -> DataFrame:

@@ -3,41 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.evaluation.metrics import CLASSES, NAMES
+from tidegauge.models.base import Model
 from tidegauge.operators.scaling import impute, recode_label, train_medians
 from tidegauge.session import materialise
 
-TASKS = ("regression", "classification")
-
 
 @dataclass
-class TreeModel:
+class TreeModel(Model):
     """Common fit and predict; subclasses supply the estimators.
 
     Gaps become the train median of the series, because MLlib trees take no missing values.
     """
 
-    features: Sequence[str]
-    target: str
-    task: str = "regression"
-    keys: Sequence[str] = ("symbol",)
-    params: dict[str, Any] = field(default_factory=dict)
-    seed: int = 42
     name = "tree"
 
     def __post_init__(self) -> None:
-        if self.task not in TASKS:
-            raise ValueError(f"task must be one of {TASKS}")
+        super().__post_init__()
         self.medians: DataFrame | None = None
         self.fitted: list[Any] = []
 
@@ -60,10 +52,8 @@ class TreeModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``y_pred`` and, for classes, ``p_neg, p_neu, p_pos``."""
-        if not self.fitted:
-            raise RuntimeError("fit before predict")
-        scored = self._score(self._prepare(df))
-        return scored.select(*df.columns, "y_pred", *([f"p_{n}" for n in NAMES] if self.task == "classification" else []))
+        self._require(self.fitted)
+        return self._score(self._prepare(df)).select(*df.columns, *self.outputs())
 
     def importances(self) -> DataFrame:
         """``(feature, importance)`` of the inputs, averaged over the fitted ensembles."""
@@ -72,16 +62,14 @@ class TreeModel:
         pairs = [(c, float(v)) for c, v in zip(self._inputs(), total, strict=True)]
         return spark.createDataFrame(pairs, "feature string, importance double")
 
-    def save(self, path: str) -> None:
-        """Ensembles and medians under one folder."""
+    def _write(self, path: str) -> None:
         for i, model in enumerate(self.fitted):
             model.write().overwrite().save(f"{path}/ensemble_{i}")
         self.medians.write.mode("overwrite").parquet(f"{path}/medians")
 
-    def load(self, spark, path: str) -> TreeModel:
+    def _read(self, spark: SparkSession, path: str) -> None:
         self.medians = spark.read.parquet(f"{path}/medians")
         self.fitted = [loader.load(f"{path}/ensemble_{i}") for i, loader in enumerate(self._loaders())]
-        return self
 
 
 def _winner(probabilities: Sequence[Column]) -> Column:

@@ -80,27 +80,33 @@ def require_splittable(df: DataFrame, keys: Sequence[str] = ("symbol",), **split
         raise ValueError(f"series too short for the split: {[tuple(r) for r in found]}")
 
 
-def walk_forward(df: DataFrame, folds: int = 5, embargo: int = 24, first_train: float = 0.40, short: str = "raise") -> DataFrame:
-    """Rows of every expanding fold: adds ``fold`` and ``role`` (train or val).
-
-    A row appears once per fold it takes part in. A series too short for a fold fails the
-    job; with ``short="exclude"`` it has no rows in that fold.
-    """
+def fold_bounds(fold: Column, folds: int = 5, embargo: int = 24, first_train: float = 0.40) -> tuple[dict[str, tuple[Column, Column]], Column]:
+    """Half-open train and val row ranges of an expanding fold, and whether the series is long enough for it."""
     if folds < 1:
         raise ValueError("folds must be at least 1")
     if not 0.0 < first_train < 1.0:
         raise ValueError("first_train must lie in (0, 1)")
     start = _share(first_train)
     size = F.floor((F.col(ROWS) - start) / folds)
-    train_end = start + F.col("fold") * size
+    train_end = start + fold * size
     val_end = train_end + size - embargo
-    role = F.when(F.col(ROW) < train_end - embargo, "train").when(
-        (F.col(ROW) >= train_end) & (F.col(ROW) < val_end), "val"
-    )
-    usable = _checked((size > embargo) & (val_end <= F.col(ROWS)) & (train_end - embargo > 0), short, "the folds")
+    usable = (size > embargo) & (val_end <= F.col(ROWS)) & (train_end - embargo > 0)
+    return {"train": (F.lit(0), train_end - embargo), "val": (train_end, val_end)}, usable
+
+
+def walk_forward(df: DataFrame, folds: int = 5, embargo: int = 24, first_train: float = 0.40, short: str = "raise") -> DataFrame:
+    """Rows of every expanding fold: adds ``fold`` and ``role`` (train or val).
+
+    A row appears once per fold it takes part in. A series too short for a fold fails the
+    job; with ``short="exclude"`` it has no rows in that fold.
+    """
+    bounds, usable = fold_bounds(F.col("fold"), folds, embargo, first_train)
+    role = F.lit(None).cast("string")
+    for name, (low, high) in bounds.items():
+        role = F.when((F.col(ROW) >= low) & (F.col(ROW) < high), name).otherwise(role)
     return (
         df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-        .where(usable)
+        .where(_checked(usable, short, "the folds"))
         .withColumn("role", role)
         .where(F.col("role").isNotNull())
     )
