@@ -2,8 +2,8 @@
 
 ``lag_products`` multiplies the rows of a block with their shifted selves inside the block and
 emits one row per block and lag. ``segment_sums`` totals any products between the borders of
-blocks and ranges, so that ``range_sums`` answers every range, fold or expanding window as the
-difference of two running totals.
+blocks and ranges, so that ``range_sums`` answers every range, fold or expanding window from
+a table with one row per segment.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.blocks import HOME, ROW, ROWS, Blocked, SeriesSpec
-from tidegauge.operators.ordered import running_totals
 from tidegauge.session import ship_package
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 START = "seg_start"
 
 #: a range of rows per name: first row and the row after the last, from the row count of the series
-Ranges = Mapping[str, tuple[Column, Column]]
+Ranges = Mapping[str | int, tuple[Column, Column]]
 
 
 def _shifted(values: np.ndarray, lags: int) -> np.ndarray:
@@ -89,18 +88,12 @@ def segment_sums(rows: DataFrame, spec: SeriesSpec, sums: Mapping[str, Column],
 
 
 def range_sums(segments: DataFrame, spec: SeriesSpec, names: Sequence[str], ranges: Ranges, label: str = "range") -> DataFrame:
-    """``(keys, n_rows, label, names..)`` for every range, as the difference of two running totals.
+    """``(keys, n_rows, label, names..)`` for every range that has rows: the sum of its segments.
 
-    A range without rows has sums of zero.
+    Work grows with segments times ranges, not with rows, and nothing is subtracted, so a
+    short late range is as exact as a long one.
     """
-    names = list(names)
-    totals = running_totals(segments, spec.keys, START, names)
-    at, whole = F.struct(*[F.col(f"{c}_before").cast("double").alias(c) for c in names]), F.struct(*[F.col(f"{c}_total").cast("double").alias(c) for c in names])
-    found = [F.min_by(at, F.when(F.col(START) >= e, F.col(START))).alias(f"_{side}{i}") for i, pair in enumerate(ranges.values()) for side, e in zip("lh", pair, strict=True)]
-    wide = totals.groupBy(*spec.keys, ROWS).agg(F.any_value(whole).alias("_whole"), *found)
-    upto = lambda side, i, c: F.coalesce(F.col(f"_{side}{i}.{c}"), F.col(f"_whole.{c}"))
-    listed = [
-        F.struct(F.lit(name).alias(label), *[(upto("h", i, c) - upto("l", i, c)).alias(c) for c in names])
-        for i, name in enumerate(ranges)
-    ]
-    return wide.select(*spec.keys, ROWS, F.inline(F.array(*listed)))
+    listed = F.array(*[F.struct(F.lit(name).alias(label), low.alias("low"), high.alias("high")) for name, (low, high) in ranges.items()])
+    inside = F.filter(listed, lambda r: (F.col(START) >= r["low"]) & (F.col(START) < r["high"]))
+    copies = segments.select(*spec.keys, ROWS, *names, F.explode(inside).alias("_r"))
+    return copies.groupBy(*spec.keys, ROWS, F.col(f"_r.{label}").alias(label)).agg(*[F.sum(c).alias(c) for c in names])

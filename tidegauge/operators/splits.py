@@ -94,6 +94,19 @@ def fold_bounds(fold: Column, folds: int = 5, embargo: int = 24, first_train: fl
     return {"train": (F.lit(0), train_end - embargo), "val": (train_end, val_end)}, usable
 
 
+def train_ranges(folds: int = 5, embargo: int = 24, first_train: float = 0.40) -> dict[int, tuple[Column, Column]]:
+    """Train row range of every expanding fold, for ``lagsums.range_sums``."""
+    return {k: fold_bounds(F.lit(k), folds, embargo, first_train)[0]["train"] for k in range(folds)}
+
+
+def foldable(df: DataFrame, folds: int = 5, embargo: int = 24, first_train: float = 0.40, short: str = "raise") -> DataFrame:
+    """``df`` if all its series are long enough for all folds; see ``walk_forward`` for ``short``."""
+    usable = F.lit(True)
+    for k in (0, folds - 1):  # the shortest train part and the last border
+        usable = usable & fold_bounds(F.lit(k), folds, embargo, first_train)[1]
+    return df.where(_checked(usable, short, "the folds"))
+
+
 def walk_forward(df: DataFrame, folds: int = 5, embargo: int = 24, first_train: float = 0.40, short: str = "raise") -> DataFrame:
     """Rows of every expanding fold: adds ``fold`` and ``role`` (train or val).
 

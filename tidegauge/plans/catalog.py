@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from tidegauge.functions.calendar import CALENDAR, calendar_columns
 from tidegauge.functions.external import macro_names, macro_stages, sentiment_names, sentiment_stages
 from tidegauge.functions.target import regression_target, target_stages, threshold
 from tidegauge.models import baselines as bl
-from tidegauge.models.training import evaluate, learning_curve, split_metrics, train_and_evaluate
+from tidegauge.models.naive import AutoRegression, MajorityClass, ZeroForecast
+from tidegauge.models.training import evaluate, learning_curve, read_runs, split_metrics, train_and_evaluate
 from tidegauge.models.trees import BoostedTrees, RandomForest
 from tidegauge.models.tuning import tune
 from tidegauge.operators import scaling as sc
@@ -28,7 +30,7 @@ from tidegauge.operators.ewm import Ewm, ewm_means
 from tidegauge.operators.intervals import interval_join
 from tidegauge.operators.ordered import wide_quantiles
 from tidegauge.plans import testbed as tb
-from tidegauge.plans.audit import leakage_audit, target_audit
+from tidegauge.plans.audit import leakage_audit, perturbation_audit, target_audit
 from tidegauge.plans.features import FeatureConfig, aligned_bars, feature_matrix, feature_names
 from tidegauge.session import materialise
 from tidegauge.sources.readers import keywords_long
@@ -45,6 +47,10 @@ FEATURES = tuple(
         )
     )
 )
+#: all features of the feature table, by the names it has before it is shown
+AUDITED = (
+    *ta.TECHNICAL, *macro_names(["dxy", "us10y_yield", "vix", "order_flow"]), *sentiment_names(["fear_greed"]), *CALENDAR,
+)
 H = 24
 
 
@@ -728,6 +734,50 @@ def ar_evaluation(spark, d):
     return split_metrics(preds, "regression")
 
 
+@register
+def ar_fold_fit(spark, d):
+    """Order and coefficients by AIC for the train part of every walk-forward fold; returns are read once."""
+    b = Blocked.of(sp.foldable(tb.daily_index(spark, d)), tb.DAILY, back=7)
+    rows = b.run(bl.lagged_returns(b, max(bl.ORDERS))).home()
+    fits = bl.fit_ar(bl.ar_range_moments(rows, tb.DAILY, sp.train_ranges()), ["symbol", "fold"], H)
+    phi = {f"phi_{k}": F.get("phi", F.lit(k - 1)) for k in range(1, max(bl.ORDERS) + 1)}
+    out = fits.withColumns(phi).select("symbol", "fold", "p", "intercept", *phi, "aic")
+    return rounded(rounded(out, 7, "intercept", *phi), 5, "aic")
+
+
+def _baselines():
+    return [
+        ZeroForecast(), MajorityClass(), AutoRegression(keys=tb.DAILY.keys),
+        AutoRegression(target="y_clf_h24", task="classification", keys=tb.DAILY.keys),
+    ]
+
+
+def _baseline_rows(spark, d):
+    rows = sp.chronological_split(_targets(spark, d))
+    return materialise(rows.select("symbol", "ts", ROW, ROWS, "close", "y_reg_h24", "y_clf_h24", "split", "split_row"))
+
+
+@register
+def baseline_forecasts(spark, d):
+    """Every baseline fitted on train, its forecasts on all splits."""
+    rows, out = _baseline_rows(spark, d), None
+    for model in _baselines():
+        preds, _ = evaluate(model.fit(rows), rows)
+        preds = preds.select(F.lit(model.name).alias("model"), F.lit(model.task).alias("task"), "*")
+        out = preds if out is None else out.unionByName(preds)
+    return rounded(out, 7, "y_true", "y_pred")
+
+
+@register
+def run_ledger(spark, d):
+    """What the ledger says of a run of every baseline."""
+    rows = _baseline_rows(spark, d)
+    ledger = f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
+    for model in _baselines():
+        train_and_evaluate(model, rows, ledger)
+    return read_runs(spark, ledger).select("model", "task", "target", "n_features", "n_train", "n_val", "n_test")
+
+
 # --- metrics and diagnostics --------------------------------------------------------------------
 
 
@@ -830,6 +880,28 @@ def leakage_audit_full(spark, d):
     return leakage_audit(bars, build, ta.TECHNICAL, tb.DAILY)
 
 
+@register
+def perturbation_audit_full(spark, d):
+    """Every feature of all families at every row left of a changed future; zero mismatches is the pass."""
+    bars = materialise(tb.daily_bars(spark, d).drop("n_ticks"))
+    aligned = aligned_bars(bars, tb.external(spark, d), tb.SOURCES, tb.DAILY)
+    return perturbation_audit(aligned, feature_matrix, AUDITED, tb.DAILY)
+
+
+@register
+def perturbation_audit_leaky(spark, d):
+    """The same audit on features that do look ahead, which it has to find."""
+
+    def build(bars, spec):
+        b = Blocked.of(index_rows(bars, spec), spec, back=1, ahead=3)
+        rows = b.run([{"peek_3": b.lead("close", 3), "no_lag": F.col("close"), "lagged": b.lag("close", 1)}]).home()
+        means = bars.groupBy(*spec.keys).agg(F.avg("close").alias("_mean"))
+        return rows.join(means, list(spec.keys)).withColumn("whole_mean", F.col("close") / F.col("_mean"))
+
+    bars = tb.stored_daily(spark, d).drop("n_ticks")
+    return perturbation_audit(bars, build, ["peek_3", "no_lag", "lagged", "whole_mean"], tb.DAILY)
+
+
 @register
 def target_spot_check(spark, d):
     return target_audit(materialise(_targets(spark, d)), tb.DAILY, "y_reg_h24", H)

@@ -831,6 +831,90 @@ ORACLES["ar_labels"] = chain(
     "SELECT symbol, ts, split, CASE WHEN y_pred > thr THEN 1.0 WHEN y_pred < -thr THEN -1.0 ELSE 0.0 END::DOUBLE AS y_label FROM fc",
 )
 
+RETURN_LAGS = [DAILY, INDEXED, RETURNS, "lg AS (SELECT *, r1 AS r_0, " + ", ".join(f"{lag('r1', k)} AS r_{k}" for k in range(1, 6)) + " FROM ret)"]
+
+
+def ar_solution(base: str, keys: str) -> list[str]:
+    """Steps from rows with ``r_0 .. r_5`` to ``best``: the AR of the lowest AIC per group, by elimination.
+
+    Row and column ``i`` stand for the constant (0) and lag ``i``, the last for the return. Once 0 .. p are
+    eliminated, the last column holds the coefficients of order p and its last entry the squares left.
+    """
+    terms, last = ["1.0::DOUBLE", *[f"r_{k}" for k in range(1, 6)], "r_0"], 6
+    moments = ", ".join(f"sum({terms[i]} * {terms[j]}) AS g_{i}_{j}" for i in range(7) for j in range(7))
+    known = " AND ".join(f"r_{k} IS NOT NULL" for k in range(6))
+    steps = [f"el AS MATERIALIZED (SELECT {keys}, count(*)::DOUBLE AS n, {moments} FROM {base} WHERE {known} GROUP BY ALL)"]
+    before, fits = "el", []
+    for k in range(last):
+        cells = [
+            (f"g_{k}_{j} / g_{k}_{k}" if i == k else f"g_{i}_{j} - g_{i}_{k} * g_{k}_{j} / g_{k}_{k}") + f" AS g_{i}_{j}"
+            for i in range(7)
+            for j in range(k + 1, 7)
+        ]
+        steps.append(f"el{k} AS MATERIALIZED (SELECT {keys}, n, {', '.join(cells)} FROM {before})")
+        before = f"el{k}"
+        if k in (1, 2, 3, 5):
+            phi = ", ".join((f"g_{i}_6" if i <= k else "NULL::DOUBLE") + f" AS phi_{i}" for i in range(1, last))
+            fits.append(f"SELECT {keys}, {k} AS p, g_0_6 AS intercept, {phi}, n * ln(g_6_6 / n) + {2 * (k + 2)} AS aic FROM el{k}")
+    steps.append(f"fits AS ({' UNION ALL '.join(fits)})")
+    steps.append(f"best AS MATERIALIZED (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY aic, p) = 1)")
+    return steps
+
+
+PHI = [f"phi_{k}" for k in range(1, 6)]
+ORACLES["ar_fold_fit"] = chain(
+    *RETURN_LAGS,
+    f"wf0 AS (SELECT *, {share('0.4')}::BIGINT AS t0, ((n_rows - {share('0.4')}::BIGINT) // 5)::BIGINT AS fs FROM lg)",
+    "wf AS (SELECT w.*, k.k::INTEGER AS fold FROM wf0 w, range(0, 5) k(k) WHERE rn < t0 + k.k * fs - 24)",
+    *ar_solution("wf", "symbol, fold"),
+    f"SELECT symbol, fold, p::INTEGER AS p, {', '.join(rnd(c, 7) for c in ('intercept', *PHI))}, {rnd('aic', 5)} FROM best",
+)
+_AHEAD = [
+    f"c{k} AS (SELECT *, intercept + {' + '.join(f'coalesce(phi_{j}, 0) * f{k - j}' for j in range(1, 6))} AS f{k} FROM c{k - 1})"
+    for k in range(5, H + 5)
+]
+FITTED = [
+    *TARGETS,
+    splits("tg"),
+    RETURNS,
+    RETURN_LAGS[-1],
+    "tr AS (SELECT lg.* FROM lg JOIN spl ON lg.symbol = spl.symbol AND lg.rn = spl.rn WHERE split = 'train')",
+    *ar_solution("tr", "symbol"),
+    MAJOR,
+    f"rs AS (SELECT *, coalesce(ln(close) - lag(ln(close)) {_SPLIT_ORDER}, 0) AS r FROM spl WHERE split IS NOT NULL)",
+    # the newest return is f4; the 24 forecasts f5 .. f28 follow
+    "c4 AS (SELECT rs.*, intercept, "
+    + ", ".join(PHI)
+    + ", r AS f4, "
+    + ", ".join(f"coalesce(lag(r, {j}) OVER (PARTITION BY rs.symbol, split ORDER BY ts), 0) AS f{4 - j}" for j in range(1, 5))
+    + " FROM rs JOIN best ON rs.symbol = best.symbol)",
+    *_AHEAD,
+    f"""fv AS (SELECT *, {' + '.join(f'f{k}' for k in range(5, H + 5))} AS fc,
+        CASE WHEN split_row >= 23 THEN stddev_samp(r) OVER (PARTITION BY symbol, split ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS v FROM c{H + 4})""",
+    f"ft AS MATERIALIZED (SELECT *, 0.5 * (lag(v) {_SPLIT_ORDER}) * sqrt(24) AS nz FROM fv)",
+]
+_PARTS = (
+    ("naive_zero", "regression", "y_reg", "0.0::DOUBLE"),
+    ("majority", "classification", "y_clf", "(SELECT majority FROM maj WHERE maj.symbol = ft.symbol)"),
+    ("autoregression", "regression", "y_reg", "fc"),
+    ("autoregression", "classification", "y_clf", "CASE WHEN fc > nz THEN 1.0 WHEN fc < -nz THEN -1.0 ELSE 0.0 END::DOUBLE"),
+)
+ORACLES["baseline_forecasts"] = chain(
+    *FITTED,
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS model, '{t}' AS task, symbol, ts, split, {rnd(y, 7, 'y_true')}, {rnd(value, 7, 'y_pred')} FROM ft"
+        for m, t, y, value in _PARTS
+    ),
+)
+ORACLES["run_ledger"] = chain(
+    *SPLITS,
+    """sz AS (SELECT count_if(split = 'train')::BIGINT AS n_train, count_if(split = 'val')::BIGINT AS n_val,
+        count_if(split = 'test')::BIGINT AS n_test FROM spl)""",
+    """SELECT v.*, n_train, n_val, n_test FROM sz, (VALUES ('naive_zero', 'regression', 'y_reg_h24', 0::INTEGER),
+        ('majority', 'classification', 'y_clf_h24', 0), ('autoregression', 'regression', 'y_reg_h24', 1),
+        ('autoregression', 'classification', 'y_clf_h24', 1)) v(model, task, target, n_features)""",
+)
+
 # --- metrics and diagnostics ---------------------------------------------------------------------------------
 
 PREDS = [
@@ -1022,3 +1106,25 @@ ORACLES["leakage_audit_full"] = chain(
     "SELECT symbol, feature, 3::BIGINT AS checked, 0::BIGINT AS mismatches FROM syms, names",
 )
 ORACLES["target_spot_check"] = chain(*TARGETS, "SELECT symbol, count(y_reg)::BIGINT AS checked, 0::BIGINT AS mismatches FROM tg GROUP BY 1")
+
+CUTS = [
+    DAILY,
+    INDEXED,
+    """cuts AS (SELECT symbol, n_rows, floor(n_rows * s.s)::BIGINT AS cut FROM (SELECT DISTINCT symbol, n_rows FROM idx),
+        (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) s(s))""",
+]
+_AUDITED = ["fear_greed_ma24" if c == "fear_greed_ma24_to_level" else c for c in FEATURES]
+ORACLES["perturbation_audit_full"] = chain(
+    *CUTS,
+    "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}')" for c in _AUDITED) + ") v(feature))",
+    """SELECT symbol, feature, sum(greatest(cut + 1 - 200, 0))::BIGINT AS checked, 0::BIGINT AS mismatches
+     FROM cuts, names GROUP BY ALL""",
+)
+ORACLES["perturbation_audit_leaky"] = chain(
+    *CUTS,
+    # rows that see a changed bar: by a lead of three, by their own bar, by the mean of the series, by none
+    """SELECT symbol, feature, count(*)::BIGINT AS checked, count_if(CASE feature WHEN 'peek_3' THEN rn + 3 >= cut AND rn + 3 < n_rows
+        WHEN 'no_lag' THEN rn = cut WHEN 'whole_mean' THEN TRUE ELSE FALSE END)::BIGINT AS mismatches
+     FROM (SELECT idx.symbol, idx.rn, idx.n_rows, cut FROM idx JOIN cuts ON idx.symbol = cuts.symbol AND rn <= cut),
+        (VALUES ('peek_3'), ('no_lag'), ('whole_mean'), ('lagged')) v(feature) GROUP BY ALL""",
+)
