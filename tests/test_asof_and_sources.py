@@ -111,6 +111,45 @@ def test_unreadable_time_fails(spark, tmp_path):
         rd.read_bars_csv(spark, str(path), "X").collect()
 
 
+def test_csv_times_do_not_depend_on_the_session_zone(spark, tmp_path):
+    path = tmp_path / "bars.csv"
+    times = ["2024-01-01 05:00:00", "2024-01-02", "2024-01-01T05:00:00Z", "2024-01-01 05:00:00+02:00"]
+    path.write_text("Datetime,Open,High,Low,Close,Volume\n" + "".join(f"{t},1,1,1,1,1\n" for t in times))
+    want = [1704103200, 1704171600, 1704085200, 1704078000]
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for bars in (rd.read_bars_csv(spark, str(path), "X", "America/New_York"), rd.sift_bars_csv(spark, str(path), "X", "America/New_York")[0]):
+                assert sorted(r[0] for r in bars.select(F.unix_seconds("ts")).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_sifted_csv_keeps_every_line(spark, tmp_path):
+    lines = {
+        "2024-01-01 00:00:00,1,3,0.5,2,0": None,
+        "2024-01-02 00:00:00,1,3,0.5,2,": None,
+        "2024-01-03 00:00:00,1,3": "wrong number of fields",
+        "2024-01-04 00:00:00,1,3,0.5,2,0,9,9": "wrong number of fields",
+        ",1,3,0.5,2,0": "no time",
+        "yesterday,1,3,0.5,2,0": "unreadable time",
+        "2024-01-05 00:00:00,1,high,0.5,2,0": "unreadable high",
+        "2024-01-06 00:00:00,x,y,0.5,2,0": "unreadable open",
+    }
+    for name in ("A", "B"):
+        (tmp_path / f"symbol={name}").mkdir()
+        (tmp_path / f"symbol={name}" / "f.csv").write_text("\n".join(["Datetime,Open,High,Low,Close,Volume", *lines]) + "\n")
+    bars, rejected = rd.sift_bars_csv(spark, str(tmp_path), F.regexp_extract("_metadata.file_path", r"symbol=([^/]+)", 1))
+    got = rejected.collect()
+    assert {(r.symbol, r.record): r.reason for r in got} == {(s, t): w for s in "AB" for t, w in lines.items() if w}
+    assert len(got) == 12 and all(r.file.endswith("f.csv") for r in got)
+    kept = bars.orderBy("symbol", "ts").collect()
+    assert [r.symbol for r in kept] == ["A", "A", "B", "B"] and [r.volume for r in kept] == [0.0, None] * 2
+    (tmp_path / "symbol=B" / "f.csv").write_text("Datetime,Open,High,Close,Low,Volume\n2024-01-01,1,1,1,1,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        rd.sift_bars_csv(spark, str(tmp_path), "X")[0].collect()
+
+
 def test_external_folder(spark, tmp_path):
     day = pd.Timestamp("2024-01-01")
     one = pd.DataFrame({"value_date": [day], "release_date": [day], "value": [1.0]})

@@ -33,7 +33,7 @@ from tidegauge.plans import testbed as tb
 from tidegauge.plans.audit import leakage_audit, perturbation_audit, target_audit
 from tidegauge.plans.features import FeatureConfig, aligned_bars, feature_matrix, feature_names
 from tidegauge.session import materialise
-from tidegauge.sources.readers import keywords_long
+from tidegauge.sources.readers import BAR_HEADER, keywords_long, sift_bars_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,6 +87,33 @@ def daily_bars(spark, d):
     return tb.daily_bars(spark, d)
 
 
+def _landed_bars(spark, d):
+    """Daily bars as CSV files per series, in local times, with faults by day of month; then sifted."""
+    bars, day = tb.daily_bars(spark, d), F.dayofmonth("ts")
+    zone = "America/New_York"
+    local = F.date_format(F.from_utc_timestamp("ts", zone), "yyyy-MM-dd HH:mm:ss")
+    text = {c: F.col(c.lower()).cast("string") for c in BAR_HEADER[1:]}
+    text["Close"] = F.when(day == 6, "n/a").otherwise(text["Close"])
+    text["Volume"] = F.when(day != 7, text["Volume"])
+    stamp = F.when(day == 5, "not a time").when(day == 8, F.date_format("ts", "yyyy-MM-dd HH:mm:ss'Z'")).otherwise(local)
+    rows = bars.select("symbol", stamp.alias("Datetime"), *[v.alias(c) for c, v in text.items()])
+    folder = f"{spark.sparkContext.getCheckpointDir()}/bars-{uuid.uuid4().hex}"
+    rows.write.option("header", True).partitionBy("symbol").csv(folder)
+    return sift_bars_csv(spark, folder, F.regexp_extract("_metadata.file_path", r"symbol=([^/]+)", 1), zone)
+
+
+@register
+def csv_bars(spark, d):
+    """The readable bars of CSV files."""
+    return _landed_bars(spark, d)[0]
+
+
+@register
+def csv_rejected(spark, d):
+    """Lines of CSV files that are no bars, counted by reason."""
+    return _landed_bars(spark, d)[1].groupBy("symbol", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register
 def release_dates(spark, d):
     return tb.external(spark, d)

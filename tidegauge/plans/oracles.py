@@ -1128,3 +1128,13 @@ ORACLES["perturbation_audit_leaky"] = chain(
      FROM (SELECT idx.symbol, idx.rn, idx.n_rows, cut FROM idx JOIN cuts ON idx.symbol = cuts.symbol AND rn <= cut),
         (VALUES ('peek_3'), ('no_lag'), ('whole_mean'), ('lagged')) v(feature) GROUP BY ALL""",
 )
+ORACLES["csv_bars"] = chain(
+    DAILY,
+    """SELECT symbol, ts, open, high, low, close, CASE WHEN day(ts) <> 7 THEN volume END AS volume
+     FROM daily WHERE day(ts) NOT IN (5, 6)""",
+)
+ORACLES["csv_rejected"] = chain(
+    DAILY,
+    """SELECT symbol, CASE day(ts) WHEN 5 THEN 'unreadable time' ELSE 'unreadable close' END AS reason, count(*)::BIGINT AS n
+     FROM daily WHERE day(ts) IN (5, 6) GROUP BY ALL""",
+)

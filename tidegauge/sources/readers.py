@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOG = logging.getLogger(__name__)
@@ -21,25 +21,74 @@ RELEASE_LAGS = {"daily": 1, "weekly": 5, "monthly": 30}
 EXTERNAL_SCHEMA = "value_date timestamp, release_date timestamp, value double"
 
 
-def read_bars_csv(spark: SparkSession, path: str | list[str], symbol: str, zone: str = "UTC") -> DataFrame:
-    """Bars from CSV; a missing header or an unreadable time is an error.
-
-    Times without an offset are taken in ``zone``; times with one keep their instant.
-    """
-    found = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-    missing = [c for c in BAR_HEADER if c not in found.columns]
+def _bar_text(spark: SparkSession, path: str | list[str], corrupt: str | None) -> DataFrame:
+    """The text columns of bar files; ``corrupt`` names a column for lines with too few or too many fields."""
+    files = spark.read.option("header", True).option("recursiveFileLookup", True)
+    columns = files.csv(path).columns
+    missing = [c for c in BAR_HEADER if c not in columns]
     if missing:
         raise ValueError(f"bar file lacks columns {missing}")
+    fields = [f"`{c}` string" for c in columns]
+    # a file whose header differs from that of the first one is an error in either mode
+    files = files.option("enforceSchema", False)
+    if corrupt is None:
+        return files.option("mode", "FAILFAST").schema(", ".join(fields)).csv(path)
+    files = files.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+    return files.schema(", ".join([*fields, f"`{corrupt}` string"])).csv(path)
+
+
+def _bar_time(zone: str) -> Column:
+    """The text of a time with its zone, so that its instant does not depend on the session."""
     text = F.trim(F.col("Datetime"))
-    offset = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    stamp = F.when(offset, F.to_timestamp(text)).otherwise(F.to_utc_timestamp(F.to_timestamp(text), zone))
+    day = text.rlike(r"^\d+-\d+-\d+$")
+    offset = ~day & text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(offset, text).when(day, F.concat(text, F.lit(f" 00:00:00 {zone}"))).otherwise(F.concat(text, F.lit(f" {zone}")))
+
+
+def _named(symbol: str | Column) -> Column:
+    return (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol")
+
+
+def read_bars_csv(spark: SparkSession, path: str | list[str], symbol: str | Column, zone: str = "UTC") -> DataFrame:
+    """Bars from CSV files; a missing header, a malformed line or an unreadable time is an error.
+
+    Times without an offset are taken in ``zone``; times with one keep their instant.
+    ``symbol`` is a name, or a column over ``_metadata.file_path`` where folders name the series.
+    """
+    found = _bar_text(spark, path, None)
     return found.select(
-        F.lit(symbol).alias("symbol"),
-        stamp.alias("ts"),
+        _named(symbol),
+        F.to_timestamp(_bar_time(zone)).alias("ts"),
         *[F.col(c).cast("double").alias(c.lower()) for c in BAR_HEADER[1:]],
     )
 
 
+def sift_bars_csv(spark: SparkSession, path: str | list[str], symbol: str | Column, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """``(bars, rejected)``: the readable bars, and every other line with its file and the first reason against it.
+
+    ``rejected`` has ``symbol, file, record, reason``. Empty values are missing, not malformed.
+    Each of the two scans the files when it is used.
+    """
+    found = _bar_text(spark, path, "_line")
+    stamp = F.try_to_timestamp(_bar_time(zone))
+    numbers = {c: F.expr(f"try_cast(trim(`{c}`) AS double)") for c in BAR_HEADER[1:]}
+    reason = F.when(F.col("_line").isNotNull(), "wrong number of fields")
+    reason = reason.when(F.col("Datetime").isNull(), "no time").when(stamp.isNull(), "unreadable time")
+    for c, value in numbers.items():
+        reason = reason.when(F.col(c).isNotNull() & value.isNull(), f"unreadable {c.lower()}")
+    record = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in found.columns if c != "_line"]))
+    rows = found.select(
+        _named(symbol),
+        F.col("_metadata.file_path").alias("file"),
+        record.alias("record"),
+        reason.alias("reason"),
+        stamp.alias("ts"),
+        *[v.alias(c.lower()) for c, v in numbers.items()],
+    )
+    bars = rows.where("reason is null").select("symbol", "ts", *[c.lower() for c in BAR_HEADER[1:]])
+    return bars, rows.where("reason is not null").select("symbol", "file", "record", "reason")
+
+
 def read_external_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All ``macro_*`` and ``sentiment_*`` parquet entries of a folder in long form.
 
