@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from tidegauge.operators.blocks import ROW, ROWS, Blocked, index_rows
 from tidegauge.operators.ewm import Ewm, ewm_means
 from tidegauge.operators.intervals import interval_join
 from tidegauge.operators.ordered import wide_quantiles
+from tidegauge.operators.window_store import map_windows, write_window_store
 from tidegauge.plans import testbed as tb
 from tidegauge.plans.audit import leakage_audit, perturbation_audit, target_audit
 from tidegauge.plans.features import FeatureConfig, aligned_bars, feature_matrix, feature_names
@@ -635,6 +638,28 @@ def sequences(spark, d):
     return rounded(rounded(_digest(_windows(spark, d)).drop("split"), 3, "total", "oldest", "newest"), 0, "weighted")
 
 
+def _window_sums(meta: pd.DataFrame, x: np.ndarray) -> pd.DataFrame:
+    """The digest of ``sequences``, from whole windows."""
+    wide = x.astype("float64")
+    step, column = np.arange(1, x.shape[1] + 1), np.arange(1, x.shape[2] + 1)
+    sums = {
+        "steps": x.shape[1], "total": wide.sum((1, 2)).round(3), "weighted": np.einsum("nij,i,j->n", wide, step, column).round(0),
+        "oldest": wide[:, 0, 0].round(3), "newest": wide[:, -1, -1].round(3),
+    }
+    return meta[["symbol", "ts"]].assign(**sums, y_clf_h24=meta["y_clf_h24"])
+
+
+@register
+def stored_windows(spark, d):
+    """All windows of 168 rows and all features, stored by reference and put together by the reader."""
+    rows = materialise(_scaled(spark, d, fill=0.0))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/windows-{uuid.uuid4().hex}"
+    write_window_store(rows, tb.DAILY, FEATURES, ["split", "y_clf_h24"], "y_reg_h24", folder, 168)
+    schema = "symbol string, ts timestamp, steps int, total double, weighted double, oldest double, newest double, y_clf_h24 double"
+    out = map_windows(spark, folder, _window_sums, schema)
+    return rounded(rounded(out, 3, "total", "oldest", "newest"), 0, "weighted")
+
+
 @register
 def segment_windows(spark, d):
     windows = _windows(spark, d).where(F.col("split").isNotNull())

@@ -759,6 +759,7 @@ ORACLES["sequences"] = chain(
     f"""SELECT symbol, ts, steps, {rnd('total', 3)}, {rnd('weighted', 0)}, {rnd('oldest', 3)}, {rnd('newest', 3)}, y_clf_h24 FROM win
         WHERE rn >= 167 AND y_reg_h24 IS NOT NULL""",
 )
+ORACLES["stored_windows"] = ORACLES["sequences"]
 ORACLES["segment_windows"] = chain(
     *WINDOWS,
     """SELECT symbol, split, count(*)::BIGINT AS n, min(ts) AS first_end, max(ts) AS last_end, min(steps)::INTEGER AS steps FROM win
