@@ -263,6 +263,23 @@ def test_vectors_beside_a_large_group_link_exactly(spark):
     assert linked[500:].any(axis=1).all()
 
 
+def test_vectors_in_double_with_text_labels(spark):
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, aside = unit(rng.normal(size=(300, 16))), rng.normal(size=(300, 16))
+    aside = unit(aside - (aside * one).sum(1, keepdims=True) * one)
+    cosine = (0.93 + rng.choice([-1, 1], 300) * rng.uniform(1e-10, 1e-8, 300))[:, None]
+    x = 3 * np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * aside])
+    frame = spark.createDataFrame([(i, v.tolist(), f"a:{i % 2}") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    linked = (unit(x) @ unit(x).T >= 0.93) & (np.arange(600)[:, None] % 2 == np.arange(600)[None, :] % 2)
+    np.fill_diagonal(linked, False)
+    assert 60 < linked[np.arange(300), np.arange(300) + 300].sum() < 240
+    for block in (2048, 64):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame, per_cell=8, block=block).collect()}
+        assert [i for i in range(600) if got[i] != linked[i].sum()] == []
+    assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
+
+
 def test_forward_recursion_is_exact():
     rng = np.random.default_rng(4)
     model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(hmm.CLASSES), 3).T)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from tidegauge.llm.components import components
 from tidegauge.llm.text import map_batches
@@ -130,14 +131,17 @@ def _compare(least: float) -> object:
 def near_vectors(vectors: DataFrame, least: float = 0.93, sample: int = 4096, per_cell: int = 64, block: int = 2048, queries: int = 1024, recall: float = 1.0) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding, label)``.
 
-    Two vectors link when their labels are equal and not null, their lengths are equal and
-    their cosine is ``least`` or more. Vectors that are null, empty, zero, or hold a null or a
+    Two vectors link when their labels, of any type, are equal and not null, their lengths are
+    equal and their cosine, in double precision whatever the components are, is ``least`` or more. Vectors that are null, empty, zero, or hold a null or a
     non-finite component, and rows with a null id, link with nothing. ``n_links`` counts the
     other rows linked directly, ``component_id`` is the smallest id reachable and ``kept``
     tells whether it is the row's own. Codebooks come from at most ``sample`` vectors, taken
     by hash order; every vector is indexed. An empty table gives an empty result.
     """
-    rows = vectors.select("vec_id", "embedding", "label")
+    held = vectors.schema["embedding"].dataType.elementType
+    # floats stay as they are; whatever else is compared as doubles
+    embedding = F.col("embedding") if isinstance(held, (FloatType, DoubleType)) else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", embedding.alias("embedding"), "label")
     spark = rows.sparkSession
     sound = F.coalesce(
         F.col("label").isNotNull()
@@ -197,7 +201,7 @@ def _fitted_reach(nodes: DataFrame, asked, books, cut: int, least: float, recall
         return out.ravel()
 
     length = len(q) * (bins + 1)
-    found = summed(nodes.select("node", "label", F.col("embedding").cast("array<float>").alias("embedding")), fold, length).reshape(len(q), -1)
+    found = summed(nodes.select("node", "label", "embedding"), fold, length).reshape(len(q), -1)
     linked = found[found.any(axis=1)] > 0
     if not len(linked):
         return 1.0
@@ -227,7 +231,8 @@ def _links(nodes: DataFrame, dim: int, least: float, sample: int, per_cell: int,
         asked = (x[:queries], np.array([r.label for r in rows[:queries]]), np.array([r.node for r in rows[:queries]]))
         reach = _fitted_reach(nodes, asked, books, cut, least, recall)
     radius2 = reach * 2 * (1 - least) + 1e-9
-    given = nodes.select("node", "copies", F.col("embedding").cast("array<float>"), F.col("label").cast("int"))
+    given = nodes.select("node", "copies", "embedding", "label")
+    kind, label = (given.schema[c].dataType.simpleString() for c in ("embedding", "label"))
     # labels of one group are not listed; the others are a ``block``-th of the rows at most
     sizes = given.groupBy("label").count().where(F.col("count") > block).collect()
     parts = {r.label: -(-r["count"] // block) for r in sizes}
@@ -266,7 +271,7 @@ def _links(nodes: DataFrame, dim: int, least: float, sample: int, per_cell: int,
         columns = {c: batch.column(c).take(at) for c in ("node", "copies", "embedding", "label")}
         yield columns | {"cells": np.array(group, dtype=np.int64), "visitor": pa.array(visitor, pa.bool_())}
 
-    placed = map_batches(given, place, "node long, copies long, embedding array<float>, label int, cells long, visitor boolean")
+    placed = map_batches(given, place, f"node long, copies long, embedding {kind}, label {label}, cells long, visitor boolean")
     placed = materialise(placed)
     blocks = placed.where("not visitor").groupBy("label", "cells").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cut_up = placed.join(blocks, ["label", "cells"])
@@ -275,7 +280,7 @@ def _links(nodes: DataFrame, dim: int, least: float, sample: int, per_cell: int,
     # members visit the later blocks of their own group
     inner = cut_up.where("not visitor and blocks > 1").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where(F.col("block") > own).withColumn("visitor", F.lit(True))
     outer = cut_up.where("visitor").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    keyed = homes.unionAll(inner).unionAll(outer).select(F.concat_ws(":", "label", "cells", "block").alias("key"), "visitor", "node", "copies", "embedding")
+    keyed = homes.unionAll(inner).unionAll(outer).select(F.concat_ws(":", "cells", "block", "label").alias("key"), "visitor", "node", "copies", "embedding")
     ship_package(spark)
     ordered = keyed.repartition("key").sortWithinPartitions("key", "visitor")
     return ordered.mapInArrow(_compare(least), "u long, v long, n long")
