@@ -37,6 +37,7 @@ from tidegauge.plans.audit import leakage_audit, perturbation_audit, target_audi
 from tidegauge.plans.features import FeatureConfig, aligned_bars, feature_matrix, feature_names
 from tidegauge.session import materialise
 from tidegauge.sources.readers import BAR_HEADER, keywords_long, sift_bars_csv
+from tidegauge.streaming.revisions import LATE, latest_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +86,20 @@ def ohlcv_bars(spark, d):
     return tb.hourly_bars(spark, d)
 
 
+@register
+def bar_revisions(spark, d):
+    """Bars of ticks that arrive out of order, as of their last revision."""
+    bars = latest_bars(tb.replayed_bars(spark, d))
+    return bars.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register
+def late_ticks(spark, d):
+    """Ticks that the stream of revised bars refused."""
+    late = tb.replayed_bars(spark, d).where(F.col("kind") == LATE)
+    return late.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("tick_order").cast("long").alias("event_id"), "price")
+
+
 @register
 def daily_bars(spark, d):
     return tb.daily_bars(spark, d)

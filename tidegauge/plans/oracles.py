@@ -114,6 +114,20 @@ ORACLES: dict[str, str] = {}
 # --- bars and externals ---------------------------------------------------------------------
 
 ORACLES["ohlcv_bars"] = chain(HOURLY, "SELECT * FROM hourly")
+#: ticks in four batches by arrival, each with the watermark that earlier batches left
+REPLAY = [
+    """arr AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS bar, epoch_us(ts) AS us, event_id, value, epoch_us(ts) + 1000000 *
+    CASE WHEN event_id % 3 = 1 THEN event_id * 7919 % 259200 ELSE event_id * 104729 % 7200 END AS arrival FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)""",
+    "bat AS (SELECT *, ((arrival - min(arrival) OVER ()) * 4 // (max(arrival) OVER () - min(arrival) OVER () + 1)) AS batch FROM arr)",
+    "wm AS (SELECT b.batch, coalesce(max(e.us) // 1000 - 14400000, 0) AS mark FROM (SELECT DISTINCT batch FROM bat) b LEFT JOIN bat e ON e.batch < b.batch GROUP BY 1)",
+    "rep AS (SELECT bat.*, epoch_ms(bar) + 3600000 <= mark AS late FROM bat JOIN wm USING (batch))",
+]
+ORACLES["bar_revisions"] = chain(
+    *REPLAY,
+    """SELECT symbol, bar AS ts, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close,
+    count(*)::DOUBLE AS volume, count(*)::BIGINT AS n_ticks, count(DISTINCT batch)::INT AS revision FROM rep WHERE NOT late GROUP BY 1, 2""",
+)
+ORACLES["late_ticks"] = chain(*REPLAY, "SELECT symbol, bar AS ts, event_id, value AS price FROM rep WHERE late")
 ORACLES["daily_bars"] = chain(DAILY, "SELECT * FROM daily")
 ORACLES["release_dates"] = chain(EXTERNAL, "SELECT source, value_date, release_date, value FROM external")
 ORACLES["keyword_long"] = chain(

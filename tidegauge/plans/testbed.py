@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tidegauge.operators.bars import arrival_order, build_bars
 from tidegauge.operators.blocks import ROW, ROWS, Blocked, SeriesSpec, index_rows
 from tidegauge.session import materialise, prepare
 from tidegauge.sources.readers import stamp_release
+from tidegauge.streaming.revisions import ROWS_OF_STREAM, revised_bars
 
 HOURLY = SeriesSpec(bar_seconds=3600)
 DAILY = SeriesSpec(bar_seconds=86400)
@@ -56,6 +59,31 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def replayed_bars(spark: SparkSession, sf_dir: str, batches: int = 4) -> DataFrame:
+    """Stored rows of a stream that receives the ticks out of order, in micro-batches of equal time.
+
+    Ticks arrive up to two hours late, every third up to three days. The query ends after every
+    micro-batch and goes on from its checkpoint.
+    """
+    ticks = table(spark, sf_dir, "events").where("ts is not null and value is not null")
+    delay = F.when(F.col("event_id") % 3 == 1, F.col("event_id") * 7919 % 259200).otherwise(F.col("event_id") * 104729 % 7200)
+    arrival = (F.unix_micros(F.col("ts").cast("timestamp")) + delay * 1000000).alias("arrival")
+    arrived = ticks.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value", arrival)
+    span = arrived.agg(F.min("arrival").alias("first"), F.max("arrival").alias("last")).first()
+    folder = f"{spark.sparkContext.getCheckpointDir()}/replay-{uuid.uuid4().hex}"
+    schema = "event_id long, event_type string, ts timestamp, value double"
+    for batch in range(batches if span.first is not None else 0):
+        due = F.floor((F.col("arrival") - span.first) * batches / (span.last - span.first + 1)) == batch
+        part = arrived.where(due).select(F.col("event_id").cast("long"), "event_type", "ts", F.col("value").cast("double"))
+        part.write.mode("append").parquet(f"{folder}/ticks")
+        rows = revised_bars(spark.readStream.schema(schema).parquet(f"{folder}/ticks"), key="event_type", ts="ts", price="value", order=F.col("event_id"), lateness="4 hours")
+        sink = rows.writeStream.format("parquet").partitionBy("kind").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    if span.first is None:
+        return spark.createDataFrame([], ROWS_OF_STREAM)
+    return spark.read.schema(ROWS_OF_STREAM).parquet(f"{folder}/rows")
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     # order and line repeat, but rows that also agree in price give the same open and close
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")

@@ -23,11 +23,12 @@ REVISION, FINAL, LATE = "revision", "final", "late"
 AHEAD = 50_000
 
 _STATE = "open double, first decimal(38,0), high double, low double, close double, last decimal(38,0), volume double, n_ticks long, revision int"
-_OUT = (
+ROWS_OF_STREAM = (
     "kind string, symbol string, ts timestamp, open double, high double, low double, close double, volume double, "
     "n_ticks long, revision int, tick_ts timestamp, tick_order decimal(38,0), price double"
 )
-_COLUMNS = [part.split()[0] for part in _OUT.split(", ")]
+_COLUMNS = [part.split()[0] for part in ROWS_OF_STREAM.split(", ")]
+_COUNTS = {"n_ticks": "Int64", "revision": "Int64"}
 
 
 def revised_bars(
@@ -73,7 +74,8 @@ def revised_bars(
     def bar(kind: str, symbol: str, start: int, held: tuple) -> pd.DataFrame:
         first, _, high, low, last, _, amount, n, revision = held
         at = pd.Timestamp(start, unit="ms")
-        return pd.DataFrame([(kind, symbol, at, first, high, low, last, amount, n, revision, pd.NaT, None, None)], columns=_COLUMNS)
+        row = (kind, symbol, at, first, high, low, last, amount, n, revision, pd.NaT, None, float("nan"))
+        return pd.DataFrame([row], columns=_COLUMNS).astype(_COUNTS)
 
     def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         symbol, start, end = group
@@ -83,7 +85,7 @@ def revised_bars(
             for frame in frames if not state.hasTimedOut else ():
                 late = pd.DataFrame({"tick_ts": frame["_t"] - pd.Timedelta(days=AHEAD), "tick_order": frame["_o"], "price": frame["_p"]})
                 late = late.assign(kind=LATE, symbol=symbol, ts=pd.Timestamp(start, unit="ms"))
-                yield late.reindex(columns=_COLUMNS)
+                yield late.reindex(columns=_COLUMNS).astype(_COUNTS)
             if held is not None:
                 state.remove()
                 yield bar(FINAL, symbol, start, held)
@@ -106,7 +108,7 @@ def revised_bars(
         state.setTimeoutTimestamp(int(end))
         yield bar(REVISION, symbol, start, held)
 
-    return stamped.groupBy("symbol", "_start", "_end").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return stamped.groupBy("symbol", "_start", "_end").applyInPandasWithState(update, ROWS_OF_STREAM, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_bars(rows: DataFrame) -> DataFrame:
