@@ -114,6 +114,19 @@ def test_forest_regression_saves_and_loads(spark, signal, tmp_path):
     same(a, model.predict(signal).orderBy("rn").toPandas().y_pred)
 
 
+def test_gaps_without_a_median_are_listed(spark):
+    rows = [("A", "train", float(i % 3), None, 0.1 * i) for i in range(30)] + [("A", "train", None, None, 1.0), ("A", "test", None, 5.0, 1.0)]
+    rows += [("B", "train", None, float(i), 0.2 * i) for i in range(30)] + [("C", "test", None, None, 1.0), ("C", "test", 1.0, None, 1.0)]
+    frame = materialise(spark.createDataFrame(rows, "symbol string, split string, f double, g double, y double"))
+    forest = RandomForest(["f", "g"], "y", params={"numTrees": 2, "maxDepth": 2})
+    with pytest.raises(RuntimeError):
+        forest.unfilled(frame)
+    forest.fit(frame)
+    got = {(r.symbol, r.feature): r.n for r in forest.unfilled(frame).collect()}
+    assert got == {("A", "g"): 31, ("B", "f"): 30, ("C", "f"): 1, ("C", "g"): 2}
+    assert forest.unfilled(frame.limit(0)).count() == 0
+
+
 def test_forest_classes(signal):
     model = RandomForest(FEATURES, "y_clf", "classification", params={"numTrees": 10, "maxDepth": 6}).fit(signal)
     out = model.predict(signal.where("split = 'test'")).toPandas()

@@ -55,6 +55,18 @@ class TreeModel(Model):
         self._require(self.fitted)
         return self._score(self._prepare(df)).select(*df.columns, *self.outputs())
 
+    def unfilled(self, df: DataFrame) -> DataFrame:
+        """``(keys, feature, n)``: gaps of ``df`` that no train median fills, where the trees are given 0.0.
+
+        A feature without a train value in its series has such gaps, and every gap of a series
+        that the train rows do not have. Only features with a gap left are listed.
+        """
+        if self.medians is None:
+            raise RuntimeError("fit the model first")
+        left = impute(df, self.medians, self.features, self.keys).groupBy(*self.keys)
+        counts = left.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.features])
+        return counts.unpivot(list(self.keys), list(self.features), "feature", "n").where("n > 0")
+
     def importances(self) -> DataFrame:
         """``(feature, importance)`` of the inputs, averaged over the fitted ensembles."""
         spark = self.medians.sparkSession
