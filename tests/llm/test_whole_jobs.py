@@ -6,11 +6,14 @@ import sys
 import time
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from tidegauge.llm import ngram_join  # noqa: E402
+from tidegauge.llm import hmm, ngram_join  # noqa: E402
+from tidegauge.llm.text import sliced_words  # noqa: E402
 
 
 def shuffle_files(spark) -> dict[str, int]:
@@ -46,3 +49,40 @@ def similar(spark, tmp_path_factory):
 def test_the_join_keeps_no_shuffles_of_its_steps(spark, similar):
     assert left_behind(spark, lambda: ngram_join.jaccard_components(similar, sketch_bits=10, filter_bits=10)) < 60_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_training_takes_whole_texts_until_it_settles(spark, monkeypatch):
+    draw, texts = random.Random(3), []
+    for _ in range(40):
+        side, words = 0, ["opening"]
+        for _ in range(draw.randrange(200, 900)):
+            side ^= draw.random() < 0.1
+            words.append(f"{'ab'[side]}{draw.randrange(30)}")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    cls, begin, length = hmm.with_ends(next(sliced_words(pa.array(texts), lower=True, limit=1 << 24))[2])
+    seen = np.bincount(cls, minlength=hmm.CLASSES) + 1.0
+    got = hmm.train(docs, seen / seen.sum(), states=2, warm=1, sample=2)
+    model = hmm.train(docs, seen / seen.sum(), states=2, warm=1, sample=2, rounds=0)
+    monkeypatch.setattr(hmm, "SEGMENT", 1 << 30)
+    before, rounds, settled = -np.inf, 0, False
+    while not settled:
+        counts = hmm.expected_counts(model, cls, begin, length)
+        model, rounds = hmm.maximise(counts, 2, seen / seen.sum()), rounds + 1
+        settled, before = counts[-1] - before < 1e-5 * abs(counts[-1]), counts[-1]
+    assert rounds > 4 and length.max() > 512
+    for x, y in ((got.start, model.start), (got.move, model.move), (got.emit, model.emit)):
+        assert np.abs(x - y).max() < 1e-7
+    assert abs(counts[:2].sum() - 40) < 1e-6
+
+
+def test_segments_change_no_expected_count(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(hmm.CLASSES), 3).T)
+    n = np.array([1, 5, 3, 40, 700, 17])
+    cls, begin = rng.integers(0, hmm.CLASSES, n.sum()).astype(np.int32), np.cumsum(n) - n
+    counts = []
+    for size in (1 << 30, 256, 16, 1):
+        monkeypatch.setattr(hmm, "SEGMENT", size)
+        counts.append(hmm.expected_counts(model, cls, begin, n))
+    assert all(np.allclose(counts[0], c, rtol=1e-9, atol=1e-9) for c in counts)
