@@ -12,6 +12,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
+import corpus_pipeline  # noqa: E402
 from tidegauge.llm import hmm, ngram_join  # noqa: E402
 from tidegauge.llm.text import sliced_words  # noqa: E402
 
@@ -51,6 +52,10 @@ def test_the_join_keeps_no_shuffles_of_its_steps(spark, similar):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_near_duplicates_keep_no_shuffles_of_their_steps(spark, similar):
+    assert left_behind(spark, lambda: corpus_pipeline.near_duplicates(spark, similar, "")) < 60_000
+
+
 def test_training_takes_whole_texts_until_it_settles(spark, monkeypatch):
     draw, texts = random.Random(3), []
     for _ in range(40):
