@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from tidegauge.llm import hmm, ngram_join  # noqa: E402
+from tidegauge.llm import decontaminate, hmm, ngram_join  # noqa: E402
 from tidegauge.llm.text import sliced_words  # noqa: E402
 
 
@@ -91,3 +91,17 @@ def test_segments_change_no_expected_count(monkeypatch):
         monkeypatch.setattr(hmm, "SEGMENT", size)
         counts.append(hmm.expected_counts(model, cls, begin, n))
     assert all(np.allclose(counts[0], c, rtol=1e-9, atol=1e-9) for c in counts)
+
+
+def test_decontamination_finds_reworded_items_with_an_end_mark(spark):
+    draw = random.Random(8)
+    said = lambda n: [f"v{draw.randrange(50_000)}" for _ in range(n)]
+    plain, marked, answer = said(30), said(24), said(6)
+    items = [(3, " ".join(plain) + "."), (4, " ".join(marked) + ". " + " ".join(answer) + ".\n-----"), (5, "---")]
+    reworded = [f"other{k}" if k % 2 else w for k, w in enumerate(marked)] + answer  # 18 of 30 words in order
+    texts = [" ".join(said(50) + x + said(50)) for x in (plain, reworded, [])]
+    docs = spark.createDataFrame([*enumerate(texts), (8, None), (9, "")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1, 4096):
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, block_items=block).collect()) == [2, 8, 9]
+    assert {r.doc_id: r["items"] for r in decontaminate.find_contaminated(docs, bench).collect()} == {0: [3], 1: [4], 2: [], 8: [], 9: []}

@@ -63,8 +63,8 @@ def _names(texts: list[str]) -> list[np.ndarray]:
 
 
 def answer_of(text: str) -> str:
-    """The last sentence or line."""
-    parts = [p for p in re.split(r"(?<=[.!?:])\s+|\n+", text.strip()) if p]
+    """The last sentence or line that has words; a rule of dashes or an end mark below it is no answer."""
+    parts = [p for p in re.split(r"(?<=[.!?:])\s+|\n+", text.strip()) if re.search(r"[0-9A-Za-z]|[^\x00-\x7F]", p)]
     return parts[-1] if parts else ""
 
 
